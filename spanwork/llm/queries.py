@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanwork.llm import mixture_queries, near_edits_queries, overlap_queries
+from spanwork.llm import mixture_queries, near_edits_queries, overlap_queries, related_splits_queries
 
-MODULES = (mixture_queries, overlap_queries, near_edits_queries)
+MODULES = (mixture_queries, overlap_queries, related_splits_queries, near_edits_queries)
 
 
 def queries() -> dict:
