@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from spanwork.llm import mixture_queries, near_edits_queries, overlap_queries, related_splits_queries
+from spanwork.llm import (
+    leaks_queries,
+    mixture_queries,
+    near_edits_queries,
+    overlap_queries,
+    related_splits_queries,
+    toxicity_queries,
+)
 
-MODULES = (mixture_queries, overlap_queries, related_splits_queries, near_edits_queries)
+MODULES = (mixture_queries, overlap_queries, related_splits_queries, near_edits_queries, leaks_queries, toxicity_queries)
 
 
 def queries() -> dict:
