@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanwork.plans import results
+from spanwork.plans import drift, results
 
-MODULES = (results,)
+MODULES = (results, drift)
 FLAGSHIP = "a1_result_summary"
 
 
