@@ -7,11 +7,12 @@ from spanwork.llm import (
     mixture_queries,
     near_edits_queries,
     overlap_queries,
+    packing_queries,
     related_splits_queries,
     toxicity_queries,
 )
 
-MODULES = (mixture_queries, overlap_queries, related_splits_queries, near_edits_queries, leaks_queries, toxicity_queries)
+MODULES = (mixture_queries, overlap_queries, related_splits_queries, near_edits_queries, packing_queries, leaks_queries, toxicity_queries)
 
 
 def queries() -> dict:
