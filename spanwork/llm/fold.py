@@ -15,18 +15,21 @@ _LOOKALIKE = str.maketrans(LOOKALIKES)
 _HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _BROKEN_LINE = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n\s*(?=[^\W\d_])")
-_WRONG = re.compile("[ÃÂâ][\x80-¿€-™]")
+_WRONG = re.compile("[ÃÂ][\x80-¿\u0152-\u2122]|â[\x80-\x9f\u0152-\u2122][\x80-¿\u0152-\u2122]")
+
+
+def _right(match: re.Match) -> str:
+    for code in ("cp1252", "latin-1"):
+        try:
+            return match[0].encode(code).decode("utf-8")
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+    return match[0]
 
 
 def decoded(text: str) -> str:
-    """A text whose UTF-8 bytes were read as Latin-1 or Windows-1252, put right; others as they are."""
-    if _WRONG.search(text):
-        for code in ("cp1252", "latin-1"):
-            try:
-                return text.encode(code).decode("utf-8")
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                continue
-    return text
+    """Letters whose UTF-8 bytes were read as Latin-1 or Windows-1252, put right."""
+    return _WRONG.sub(_right, text)
 
 
 def fold(text: str) -> str:

@@ -81,6 +81,8 @@ _REMARK = re.compile(r"\b(?:" + "|".join(REMARKS) + r")\b")
 _SYNONYMS = tuple((re.compile(a), b) for a, b in SYNONYMS)
 _OPENER = re.compile(rf" (?=(?:{OPENERS})\b)")
 _ENDS = frozenset(".!?\n")
+#: Words of the fixed values above are known however rare they are.
+_FIXED_WORDS = sorted({w for t in (*REMARKS, OPENERS, *(x for pair in SYNONYMS for x in pair)) for w in re.findall(r"(?<!\\)[a-z]{2,}", t)})
 
 
 def is_word(token: str) -> bool:
@@ -215,7 +217,7 @@ def known_words(texts: DataFrame, column: str) -> dict[str, int]:
     least = max(3, texts.count() // KNOWN_ONE_IN)
     words = F.explode(F.array_distinct(F.split(F.lower(F.col(column)), r"[^\p{L}]+"))).alias("word")
     counts = texts.select(words).groupBy("word").count().where((F.col("count") >= least) & (F.length("word") > 0))
-    return {r["word"]: r["count"] for r in counts.collect()}
+    return dict.fromkeys(_FIXED_WORDS, least) | {r["word"]: r["count"] for r in counts.collect()}
 
 
 _HIGH = (1 << 63) - 1
