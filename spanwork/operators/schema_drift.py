@@ -6,9 +6,9 @@ flooding: a pair of fields starts with the likeness of names, types and contents
 the pairs of their parents and children, over and over until the scores stand still.  In each object the best consistent
 pairs above a threshold are renames.
 
-Scale: lines are profiled in batches as counts of features, and counts are summed by (file, field, feature) with map-side combine, so
-a file with a third of all lines is no hot spot; a comparison sees two profiles, whose size depends on the number of
-fields alone.
+Scale: lines are profiled as counts of features, which a task adds up for all lines it reads and ``BLOCK`` tasks' sums are
+added up next, so a file with a third of all lines is no hot spot; a comparison sees two profiles, whose size depends on
+the number of fields and hardly on that of lines.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ VALUES, GROUPS = 64, 128
 ACCEPT, FLOW = 0.31, 0.25
 #: Canonical fields of the consistent table, at most; more is an error, not a cut.
 MAX_FIELDS = 2000
+#: Feature counts a task holds before it passes them on, and tasks whose sums are added up together.
+HELD, BLOCK = 200_000, 256
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -224,7 +227,7 @@ def compare(before: dict[str, dict[str, float]], after: dict[str, dict[str, floa
 @dataclass
 class Drift:
     files: DataFrame  # feed, file_id, file_seq, before (file_id of the file before)
-    profiles: DataFrame  # feed, file_id, path, feature, n
+    profiles: DataFrame  # feed, file_id, path, block, features (counts as a JSON object)
     changes: DataFrame  # feed, file_id, field_path, change_kind, path_before
 
 
@@ -238,40 +241,60 @@ def schema_drift(spark: SparkSession, lines: DataFrame, accept: float = ACCEPT)
     """
     source = lines.select("feed", "file_id", "file_seq", "payload").where("feed is not null and file_id is not null and payload is not null")
     fields = ["feed", "file_id", "file_seq"]
-    schema = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in fields) + ", path string, feature string, n long"
+    types = [source.schema[n].dataType.simpleString() for n in fields]
+    schema = ", ".join(f"{n} {t}" for n, t in zip(fields, types)) + ", path string, block int, features string"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() // BLOCK
+        held: dict[tuple, Counter] = defaultdict(Counter)
+        new, kinds = 0, None
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*held)) if held else [()] * 4
+            made = [pa.array(c, k) for c, k in zip(columns, [*kinds, pa.string()])]
+            made += [pa.array([block] * len(held), pa.int32()), pa.array([json.dumps(c) for c in held.values()], pa.string())]
+            return pa.RecordBatch.from_arrays(made, names=[*fields, "path", "block", "features"])
+
         for batch in batches:
-            counts: Counter = Counter()
+            kinds = [batch.schema.field(n).type for n in fields]
             for key, payload in zip(zip(*(batch.column(n).to_pylist() for n in fields)), batch.column("payload").to_pylist()):
                 record = parse(payload)
-                if record is not None:
-                    counts.update((*key, p, f) for p, f in profile(record))
-                    counts[(*key, "", "n")] += 1  # the file has a readable line, even an empty object
-            columns = list(zip(*counts)) if counts else [()] * 5
-            kinds = [batch.schema.field(n).type for n in fields] + [pa.string(), pa.string()]
-            made = [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.array(list(counts.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(made, names=[*fields, "path", "feature", "n"])
-
-    summed = source.mapInArrow(run, schema).groupBy(*fields, "path", "feature").agg(F.sum("n").alias("n"))
-    profiles = stage_table(spark, summed, "profiles")
+                if record is None:
+                    continue
+                held[(*key, "")]["n"] += 1  # the file has a readable line, even an empty object
+                for p, f in profile(record):
+                    counts = held[(*key, p)]
+                    new += f not in counts
+                    counts[f] += 1
+                if new > HELD:
+                    yield out()
+                    held.clear()
+                    new = 0
+        if held:
+            yield out()
+
+    def add(group: pa.Table) -> pa.Table:
+        sums: dict[str, Counter] = defaultdict(Counter)
+        for p, f in zip(group.column("path").to_pylist(), group.column("features").to_pylist()):
+            sums[p].update(json.loads(f))
+        heads = [group.column(n).take(pa.array([0] * len(sums), pa.int64())) for n in fields]
+        tail = [pa.array(list(sums), pa.string()), group.column("block").take(pa.array([0] * len(sums), pa.int64())), pa.array([json.dumps(c) for c in sums.values()], pa.string())]
+        return pa.Table.from_arrays([*heads, *tail], names=[*fields, "path", "block", "features"])
+
+    profiles = stage_table(spark, source.mapInArrow(run, schema).groupBy(*fields, "block").applyInArrow(add, schema), "profiles")
     order = Window.partitionBy("feed").orderBy("file_seq", "file_id")
     files = profiles.where("path = ''").groupBy("feed", "file_id").agg(F.min("file_seq").alias("file_seq"))
     files = files.withColumn("before", F.lag("file_id").over(order))
-    known = files.where("before is not null")
-    sides = known.select("feed", F.col("file_id").alias("pair"), F.explode(F.array(F.struct(F.col("file_id"), F.lit(True).alias("now")), F.struct(F.col("before").alias("file_id"), F.lit(False).alias("now")))).alias("s"))
-    sides = sides.select("feed", "pair", "s.file_id", "s.now")
-    rows = profiles.where("path <> ''").groupBy("feed", "file_id", "path", "feature").agg(F.sum("n").alias("n"))
-    # an empty path keeps a pair whose files have no fields
-    both = sides.join(rows.unionByName(files.select("feed", "file_id", F.lit("").alias("path"), F.lit("n").alias("feature"), F.lit(1).cast("long").alias("n"))), ["feed", "file_id"])
-
-    feed_type, id_type = (source.schema[n].dataType.simpleString() for n in ("feed", "file_id"))
+    sides = F.explode(F.array(F.struct(F.col("file_id"), F.lit(True).alias("now")), F.struct(F.col("before").alias("file_id"), F.lit(False).alias("now")))).alias("s")
+    sides = files.where("before is not null").select("feed", F.col("file_id").alias("pair"), sides).select("feed", "pair", "s.file_id", "s.now")
+    both = sides.join(profiles.select("feed", "file_id", "path", "features"), ["feed", "file_id"])
+    feed_type, id_type = types[:2]
 
     def diff(group: pa.Table) -> pa.Table:
-        graphs: dict[bool, dict[str, dict[str, float]]] = {True: defaultdict(dict), False: defaultdict(dict)}
-        for now, path, feature, n in zip(*(group.column(c).to_pylist() for c in ("now", "path", "feature", "n"))):
+        graphs: dict[bool, dict[str, Counter]] = {True: defaultdict(Counter), False: defaultdict(Counter)}
+        for now, path, features in zip(*(group.column(c).to_pylist() for c in ("now", "path", "features"))):
             if path:
-                graphs[now][path][feature] = float(n)
+                graphs[now][path].update(json.loads(features))
         found = compare(dict(graphs[False]), dict(graphs[True]), accept)
         head = [group.column(c).take(pa.array([0] * len(found), pa.int64())) for c in ("feed", "pair")]
         text = [pa.array([f[k] for f in found], pa.string()) for k in range(3)]
@@ -287,17 +310,14 @@ def canonical_names(spark: SparkSession, drift: Drift) -> dict[str, tuple[str, s
 
     The driver sees one row per path of the whole collection and one per distinct rename, at most ``MAX_FIELDS`` paths.
     """
-    use = drift.profiles.where("path <> '' and (feature = 'n' or feature like 't%')").groupBy("path", "feature").agg(F.sum("n").alias("n"))
-    rows = use.limit(MAX_FIELDS * 7 + 1).collect()
-    if len({r["path"] for r in rows}) > MAX_FIELDS:
+    kinds_of = ("text", "number", "boolean", "list", "object")
+    count = lambda key: F.sum(F.coalesce(F.get_json_object("features", f"$.{key}").cast("long"), F.lit(0)))
+    use = drift.profiles.where("path <> ''").groupBy("path").agg(count("n").alias("n"), *[count(f"t{k}").alias(k) for k in kinds_of])
+    rows = use.limit(MAX_FIELDS + 1).collect()
+    if len(rows) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} fields")
-    counts: dict[str, int] = defaultdict(int)
-    types: dict[str, Counter] = defaultdict(Counter)
-    for r in rows:
-        if r["feature"] == "n":
-            counts[r["path"]] += r["n"]
-        else:
-            types[r["path"]][r["feature"][1:]] += r["n"]
+    counts = {r["path"]: r["n"] for r in rows}
+    types = {r["path"]: Counter({k: r[k] for k in kinds_of if r[k]}) for r in rows}
     parent = {p: p for p in counts}
 
     def root(p: str) -> str:
