@@ -5,7 +5,7 @@ from __future__ import annotations
 from spanwork.plans import drift, results
 
 MODULES = (results, drift)
-FLAGSHIP = "a1_result_summary"
+FLAGSHIP = "completion_by_dim"
 
 
 def queries() -> dict:
