@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanwork.plans import drift, results
+from spanwork.plans import drift, results, selecting
 
-MODULES = (results, drift)
+MODULES = (results, selecting, drift)
 FLAGSHIP = "completion_by_dim"
 
 
