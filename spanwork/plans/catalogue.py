@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanwork.plans import drift, results, selecting
+from spanwork.plans import drift, results, selecting, texts
 
-MODULES = (results, selecting, drift)
+MODULES = (results, selecting, texts, drift)
 FLAGSHIP = "completion_by_dim"
 
 
