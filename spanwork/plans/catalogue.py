@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanwork.plans import drift, results, selecting, texts
+from spanwork.plans import drift, graphs, results, selecting, texts
 
-MODULES = (results, selecting, texts, drift)
+MODULES = (results, selecting, texts, graphs, drift)
 FLAGSHIP = "completion_by_dim"
 
 
