@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanwork.plans import drift, graphs, results, selecting, texts
+from spanwork.plans import drift, graphs, results, selecting, sequences, texts
 
-MODULES = (results, selecting, texts, graphs, drift)
+MODULES = (results, selecting, texts, graphs, sequences, drift)
 FLAGSHIP = "completion_by_dim"
 
 
