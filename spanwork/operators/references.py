@@ -88,10 +88,10 @@ def larger_than(elements: DataFrame, measure: str, least: int) -> DataFrame:
     return elements.withColumn("_u", unknown).where((F.col("_u") == 0) & (F.col(measure) > least)).select(F.col("storey").alias("ref"), "id")
 
 
-def related(edges: DataFrame, one: int | str, other: int | str) -> DataFrame:
-    """Sources with an edge to both of two targets."""
-    both = edges.where(F.col("dst").isin(one, other)).groupBy("src").agg(F.count_distinct("dst").alias("_n"))
-    return both.where("_n = 2").select(F.col("src").alias("id"))
+def related(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Sources with an edge to both targets of a reference: ``pairs`` has ref and other, ``edges`` src and dst without repetition."""
+    one = pairs.join(edges.select(F.col("dst").alias("ref"), "src"), "ref")
+    return one.join(edges.select(F.col("dst").alias("other"), "src"), ["other", "src"]).select("ref", F.col("src").alias("id"))
 
 
 def unrelated(elements: DataFrame, edges: DataFrame) -> DataFrame:

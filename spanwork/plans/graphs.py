@@ -72,11 +72,14 @@ def resolve_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_bounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refs.related(edges(spark, sf_dir), 7, 8)
+    """For every two suppliers of neighbouring numbers, the parts that both sell: two edges from one source."""
+    e = edges(spark, sf_dir)
+    pairs = e.select(F.col("dst").alias("ref")).distinct().select("ref", (F.col("ref") + 1).alias("other"))
+    return refs.related(e, pairs).groupBy("ref").agg(F.count("*").alias("n"), F.min("id").alias("least"))
 
 
 def resolve_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_suppkey <= 20").select(F.col("l_partkey").alias("src"))
+    some = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 48").select(F.col("l_partkey").alias("src"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("storey"))
     return refs.unrelated(parts, some).groupBy("ref").agg(F.count("*").alias("n"))
 
@@ -144,9 +147,9 @@ def g26_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g2_delta_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of two halves of the orders: how well one set reproduces the other, per supplier's nation."""
+    """Edges of accepted and of returned lines: how well one set reproduces the other, per supplier's nation."""
     l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation")), "l_suppkey")
-    e = l.groupBy("nation", "l_partkey", "l_suppkey").agg(F.max((F.col("l_orderkey") % 2 == 0).cast("int")).alias("a"), F.max((F.col("l_orderkey") % 2 == 1).cast("int")).alias("b"))
+    e = l.groupBy("nation", "l_partkey", "l_suppkey").agg(F.max((F.col("l_returnflag") == "A").cast("int")).alias("a"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("b"))
     s = e.groupBy("nation").agg(F.sum(F.col("a") * F.col("b")).alias("hit"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
     p, r, f = sets.precision_recall(F.col("hit"), F.col("na"), F.col("nb"))
     return s.select("nation", "hit", (F.col("na") - F.col("hit")).alias("added"), (F.col("nb") - F.col("hit")).alias("removed"), p.alias("precision"), r.alias("recall"), f.alias("f1"))
@@ -247,7 +250,7 @@ QUERIES = {
     "ref_resolve_negation": resolve_negation, "ref_resolve_offset": resolve_offset, "ref_resolve_opposite": resolve_opposite, "ref_resolve_ordinal": resolve_ordinal, "ref_resolve_set": resolve_set,
 }
 SQL = {
-    "ref_g2_delta_prf": """WITH e AS (SELECT s_nationkey AS nation, l_partkey, l_suppkey, max((l_orderkey % 2 = 0)::INT) AS a, max((l_orderkey % 2 = 1)::INT) AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), s AS (SELECT nation, sum(a * b)::BIGINT AS hit, sum(a)::BIGINT AS na, sum(b)::BIGINT AS nb FROM e GROUP BY nation)
+    "ref_g2_delta_prf": """WITH e AS (SELECT s_nationkey AS nation, l_partkey, l_suppkey, max((l_returnflag = 'A')::INT) AS a, max((l_returnflag = 'R')::INT) AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), s AS (SELECT nation, sum(a * b)::BIGINT AS hit, sum(a)::BIGINT AS na, sum(b)::BIGINT AS nb FROM e GROUP BY nation)
     SELECT nation, hit, na - hit AS added, nb - hit AS removed, CASE WHEN na = 0 AND nb = 0 THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0 ELSE hit::DOUBLE / na END AS precision, CASE WHEN na = 0 AND nb = 0 THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0 ELSE hit::DOUBLE / nb END AS recall, CASE WHEN na = 0 AND nb = 0 THEN 1.0 WHEN na = 0 OR nb = 0 OR hit = 0 THEN 0.0 ELSE (2 * hit)::DOUBLE / (na + nb) END AS f1 FROM s""",
     "ref_g4_remap": f"WITH {EDGES}, m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS new FROM part), x AS (SELECT DISTINCT coalesce(new, src) AS src, dst FROM ed LEFT JOIN m ON src = p_partkey) SELECT dst, count(*) AS n FROM x GROUP BY dst",
     "ref_g6_ancestors": "WITH RECURSIVE a AS (SELECT p_partkey AS id, p_partkey AS up, 0 AS depth FROM part UNION ALL SELECT id, up // 3, depth + 1 FROM a WHERE up // 3 > 0 AND depth < 8) SELECT depth, count(*) AS n, count(DISTINCT up) AS ancestors FROM a WHERE depth > 0 GROUP BY depth",
@@ -269,10 +272,10 @@ SQL = {
     "ref_resolve_beside": f"WITH {ANCHORS} SELECT ref, count(*) AS n FROM n WHERE (ax - ay) * (y - ay) - az * (x - ax) >= 20000 GROUP BY ref",
     "ref_resolve_between": f"""WITH {ANCHORS}, p AS (SELECT a.ref, a.storey, a.ax, a.ay, b.ax AS bx, b.ay AS by_, row_number() OVER (PARTITION BY a.ref ORDER BY b.ref) AS k FROM an a JOIN an b ON a.storey = b.storey AND a.ref < b.ref), i AS (SELECT *, (greatest(ax, bx) - least(ax, bx)) // 20 AS inset FROM p WHERE k = 1)
     SELECT ref, id FROM i JOIN el USING (storey) WHERE id <> ref AND x > least(ax, bx) + inset AND x < greatest(ax, bx) - inset AND abs(2 * y - ay - by_) <= 200""",
-    "ref_resolve_bounding": f"WITH {EDGES} SELECT src AS id FROM ed WHERE dst IN (7, 8) GROUP BY src HAVING count(DISTINCT dst) = 2",
+    "ref_resolve_bounding": f"WITH {EDGES} SELECT a.dst AS ref, count(*) AS n, min(a.src) AS least FROM ed a JOIN ed b ON a.src = b.src AND b.dst = a.dst + 1 GROUP BY a.dst",
     "ref_resolve_extreme": f"WITH {ELEMENTS}, m AS (SELECT storey AS ref, id, x, max(x) OVER (PARTITION BY storey) AS t FROM el WHERE storey IS NOT NULL) " + _ONE.format("SELECT ref, id FROM m WHERE x >= t - 20"),
     "ref_resolve_nearest": f"WITH {ANCHORS}, m AS (SELECT ref, id, {_D2} AS d, min({_D2}) OVER (PARTITION BY ref) AS t FROM n) " + _ONE.format("SELECT ref, id FROM m WHERE d <= t + 100"),
-    "ref_resolve_negation": "SELECT p_brand AS ref, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey <= 20) GROUP BY p_brand",
+    "ref_resolve_negation": "SELECT p_brand AS ref, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48) GROUP BY p_brand",
     "ref_resolve_offset": _resolver("abs(x - ax - 150) <= 120 AND abs(y - ay) <= 120"),
     "ref_resolve_opposite": f"WITH {ANCHORS}, c AS (SELECT storey, min(x) + max(x) AS sx, min(y) + max(y) AS sy FROM el GROUP BY storey), m AS (SELECT ref, id, (x - sx + ax) * (x - sx + ax) + (y - sy + ay) * (y - sy + ay) AS d FROM n JOIN c USING (storey)) " + _ONE.format("SELECT ref, id FROM m QUALIFY d = min(d) OVER (PARTITION BY ref)"),
     "ref_resolve_ordinal": f"WITH {ELEMENTS}, o AS (SELECT storey, id, row_number() OVER w AS n, x - lag(x) OVER w AS a, lead(x) OVER w - x AS b FROM el WHERE storey IS NOT NULL WINDOW w AS (PARTITION BY storey ORDER BY x, id)) SELECT storey AS ref, id FROM o WHERE n = 3 AND coalesce(a, 5) >= 5 AND coalesce(b, 5) >= 5",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanwork.functions import labels
 from spanwork.operators import selection as sel
 from spanwork.operators import sets
-from spanwork.plans.base import BUILDING, CATEGORY, MODEL, OPERATION, RECORDS, SPLIT, VERSION, records
+from spanwork.plans.base import BUILDING, CATEGORY, MODEL, OPERATION, RECORDS, RESULTS, SPLIT, TASKS, VERSION, records, results, tasks
 from spanwork.sources.tables import table
 
 MD5 = "md5(concat_ws('|', '7', {0}::VARCHAR))"
@@ -113,17 +113,17 @@ def x17_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def z16_batch_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two checks of a batch: members that were not touched, and touched things outside it (parts of one supplier, bought by two order states)."""
-    lines = table(spark, sf_dir, "lineitem")
-    batch = lines.where("l_suppkey = 7").select("l_partkey").distinct()
-    touched = lines.where("l_suppkey = 7 and l_returnflag = 'R'").select("l_partkey").distinct()
-    out = lines.where("l_suppkey = 8 and l_returnflag = 'R'").select("l_partkey").distinct()
-    missed = batch.join(touched, "l_partkey", "left_anti").select("l_partkey", F.lit("not_touched").alias("fault"))
-    return missed.unionByName(out.join(batch, "l_partkey", "left_anti").select("l_partkey", F.lit("outside").alias("fault")))
+    """Two checks of every supplier's batch of parts: members that nobody returned, and returned parts no finished order holds."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag", "l_linestatus")
+    pairs = lambda c: lines.where(c).select("l_suppkey", "l_partkey").distinct()
+    batch, touched, allowed = pairs("true"), pairs("l_returnflag = 'R'"), pairs("l_linestatus = 'F'")
+    missed = batch.join(touched, ["l_suppkey", "l_partkey"], "left_anti").withColumn("fault", F.lit("not_touched"))
+    outside = touched.join(allowed, ["l_suppkey", "l_partkey"], "left_anti").withColumn("fault", F.lit("outside"))
+    return missed.unionByName(outside).groupBy("l_suppkey", "fault").agg(F.count("*").alias("n"))
 
 
 def w2_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sel.chunked(table(spark, sf_dir, "orders").where("o_custkey <= 200"), "o_custkey", ["o_orderkey"], 3)
+    rows = sel.chunked(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"], 3)
     return rows.select("o_custkey", "o_orderkey", "chunk", F.row_number().over(Window.partitionBy("chunk").orderBy("o_custkey", "rn")).alias("place"))
 
 
@@ -198,48 +198,51 @@ def w15_next_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(top, "l_orderkey", "left").select("l_orderkey", (F.coalesce("top", F.lit(0)) + 1).alias("free"))
 
 
+#: Two runs that are compared key by key.
+BEFORE, AFTER = "base-9b", "grpo-c20"
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.floor("o_totalprice").alias("price"))
-    after = o.where("pmod(o_orderkey, 11) <> 3").withColumn("o_orderstatus", F.when(F.expr("pmod(o_orderkey, 7) = 0"), F.lit("X")).otherwise(F.col("o_orderstatus"))).withColumn("price", F.when(F.expr("pmod(o_orderkey, 5) = 0"), F.col("price") + 1).otherwise(F.col("price")))
-    return o.where("pmod(o_orderkey, 13) <> 4"), after
+    """What two adapters did, by task."""
+    r = results(spark, sf_dir).select("adapter", "task_id", "stop_reason", "committed", "commits")
+    return tuple(r.where(F.col("adapter") == a).drop("adapter") for a in (BEFORE, AFTER))
 
 
-SNAPSHOTS = """o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, floor(o_totalprice)::BIGINT AS price FROM orders), a AS (SELECT * FROM o WHERE o_orderkey % 13 <> 4),
-b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 5 = 0 THEN price + 1 ELSE price END AS price FROM o WHERE o_orderkey % 11 <> 3),
-d AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'created' WHEN b.o_orderkey IS NULL THEN 'deleted' ELSE 'modified' END AS status,
-  CASE WHEN a.o_orderkey IS NULL OR b.o_orderkey IS NULL THEN []::VARCHAR[] ELSE list_filter(['o_orderstatus', 'o_orderpriority', 'price'], lambda x: (x = 'o_orderstatus' AND a.o_orderstatus IS DISTINCT FROM b.o_orderstatus) OR (x = 'o_orderpriority' AND a.o_orderpriority IS DISTINCT FROM b.o_orderpriority) OR (x = 'price' AND a.price IS DISTINCT FROM b.price)) END AS changed
-  FROM a FULL JOIN b USING (o_orderkey)), e AS (SELECT * FROM d WHERE status <> 'modified' OR len(changed) > 0)"""
+SNAPSHOTS = f"""{RESULTS}, a AS (SELECT task_id, stop_reason, committed, commits FROM r WHERE adapter = '{BEFORE}'), b AS (SELECT task_id, stop_reason, committed, commits FROM r WHERE adapter = '{AFTER}'),
+d AS (SELECT task_id, CASE WHEN a.m IS NULL THEN 'created' WHEN b.m IS NULL THEN 'deleted' ELSE 'modified' END AS status, CASE WHEN a.m IS NULL OR b.m IS NULL THEN []::VARCHAR[] ELSE list_filter(['stop_reason', 'committed', 'commits'], lambda x: (x = 'stop_reason' AND a.stop_reason IS DISTINCT FROM b.stop_reason) OR
+  (x = 'committed' AND a.committed IS DISTINCT FROM b.committed) OR (x = 'commits' AND a.commits IS DISTINCT FROM b.commits)) END AS changed FROM (SELECT *, 1 AS m FROM a) a FULL JOIN (SELECT *, 1 AS m FROM b) b USING (task_id)), e AS (SELECT * FROM d WHERE status <> 'modified' OR len(changed) > 0)"""
 
 
 def u4_keyed_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _snapshots(spark, sf_dir)
-    return sets.keyed_diff(a, b, ["o_orderkey"], ["o_orderstatus", "o_orderpriority", "price"])
+    return sets.keyed_diff(a, b, ["task_id"], ["stop_reason", "committed", "commits"])
 
 
 def u6_off_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of orders outside the allowed ones, per priority; creations and deletions of one priority cancel out."""
-    diff = u4_keyed_diff(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
-    allowed = table(spark, sf_dir, "orders").where("pmod(o_orderkey, 7) = 0").select("o_orderkey")
-    return sets.off_target(diff, allowed, ["o_orderkey"], "o_orderpriority")
+    """Changes of tasks outside those of one operation, per category; creations and deletions of one category cancel out."""
+    k = tasks(spark, sf_dir).select("task_id", "operation", "category")
+    diff = u4_keyed_diff(spark, sf_dir).join(k, "task_id")
+    return sets.off_target(diff, k.where("operation = 'update'"), ["task_id"], "category")
 
 
 def u7_edit_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an edit covers, by mode of the order's status: added, removed, or both with what was modified."""
-    d = u4_keyed_diff(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("mode")), "o_orderkey")
-    want = ((F.col("mode") == "F") & (F.col("status") == "deleted")) | ((F.col("mode") == "O") & (F.col("status") == "created")) | (F.col("mode") == "P")
+    """What counts as edited, by mode (the operation): added for create, removed for delete, both and what was modified for update."""
+    d = u4_keyed_diff(spark, sf_dir).join(tasks(spark, sf_dir).select("task_id", F.col("operation").alias("mode")), "task_id")
+    want = ((F.col("mode") == "delete") & (F.col("status") == "deleted")) | ((F.col("mode") == "create") & (F.col("status") == "created")) | (F.col("mode") == "update")
     return d.where(want).groupBy("mode", "status").agg(F.count("*").alias("n"))
 
 
 def j19_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags of lines of odd orders beyond those of even ones, with multiplicity."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber")
-    side = lambda k: l.where(f"pmod(l_orderkey, 2) = {k}").drop("l_orderkey")
-    return sets.multiset_except(side(1), side(0))
+    """Kinds of returned lines beyond those of accepted ones, with multiplicity."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", F.col("l_quantity").cast("int").alias("quantity"))
+    side = lambda f: lines.where(F.col("l_returnflag") == f).drop("l_returnflag")
+    return sets.multiset_except(side("R"), side("A"))
 
 
 def j8_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first run with the second's rows in their place where the second committed."""
     a, b = _snapshots(spark, sf_dir)
-    return sets.upsert(a, b.where("price > 100000"), ["o_orderkey"]).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
+    return sets.upsert(a, b.where("committed"), ["task_id"]).groupBy("stop_reason").agg(F.count("*").alias("n"), F.sum("commits").alias("commits"))
 
 
 def j4_j5_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,8 +406,8 @@ SQL = {
     "ref_j4_j5_checks": "SELECT 'with' AS kind, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'without', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "ref_j6_triple_overlap": f"""WITH {RECORDS}, x AS (SELECT DISTINCT rec_id, {SPLIT} AS split, {OPERATION} AS operation, {BUILDING} AS building, unnest(target.guids) AS guid FROM t), y AS (SELECT * FROM x WHERE split IS NOT NULL AND operation IS NOT NULL AND building IS NOT NULL),
     n AS (SELECT building, guid, operation, count(DISTINCT rec_id) AS n FROM y WHERE split = 'train' GROUP BY ALL) SELECT split, rec_id, sum(n)::BIGINT AS n FROM y JOIN n USING (building, guid, operation) WHERE split <> 'train' GROUP BY ALL""",
-    "ref_j8_upsert": f"""WITH {SNAPSHOTS}, n AS (SELECT * FROM b WHERE price > 100000), u AS (SELECT * FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT * FROM n) SELECT o_orderstatus, count(*) AS n, sum(price)::BIGINT AS price FROM u GROUP BY o_orderstatus""",
-    "ref_j19_multiset": """SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS surplus FROM (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 1 EXCEPT ALL SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 0) GROUP BY ALL""",
+    "ref_j8_upsert": f"""WITH {SNAPSHOTS}, n AS (SELECT * FROM b WHERE committed), u AS (SELECT * FROM a WHERE task_id NOT IN (SELECT task_id FROM n) UNION ALL SELECT * FROM n) SELECT stop_reason, count(*) AS n, sum(commits)::BIGINT AS commits FROM u GROUP BY stop_reason""",
+    "ref_j19_multiset": """SELECT l_linestatus, l_linenumber, quantity, count(*) AS surplus FROM (SELECT l_linestatus, l_linenumber, l_quantity::INT AS quantity FROM lineitem WHERE l_returnflag = 'R' EXCEPT ALL SELECT l_linestatus, l_linenumber, l_quantity::INT FROM lineitem WHERE l_returnflag = 'A') GROUP BY ALL""",
     "ref_p3_eligibility": f"""WITH {RECORDS}, w AS (SELECT rec_id, CASE WHEN {SPLIT} IS NULL THEN 'no split' WHEN {MODEL} IS NULL THEN 'no model' WHEN coalesce(prompt, instruction) IS NULL THEN 'no text' WHEN {OPERATION} IS NULL THEN 'no operation' WHEN clarification IS NOT NULL THEN 'asks back' ELSE 'eligible' END AS why FROM t)
     SELECT why, count(*) AS n, list_sort(list(rec_id))[1:5] AS examples FROM w GROUP BY why""",
     "ref_p5_buckets": "SELECT CASE WHEN length(text) < 200 THEN 'small' WHEN length(text) < 1000 THEN 'medium' WHEN length(text) < 5000 THEN 'large' ELSE 'huge' END AS tier, count(*) AS n, max(length(text))::INT AS most FROM documents WHERE text IS NOT NULL GROUP BY ALL",
@@ -417,12 +420,12 @@ SQL = {
     "ref_s3_latest": "SELECT count(DISTINCT rec_id) AS kept, count(*) AS delivered FROM task",
     "ref_s16_pending": f"""WITH {RECORDS}, d AS (SELECT DISTINCT task_id FROM t WHERE {SPLIT} <> 'train' AND task_id IS NOT NULL) SELECT adapter, (SELECT count(*) FROM d) - count(DISTINCT task_id) FILTER (task_id IN (SELECT task_id FROM d)) AS pending FROM task_result GROUP BY adapter""",
     "ref_u3_disjoint": f"WITH {RECORDS} SELECT {BUILDING} AS building, count(DISTINCT {SPLIT}) AS splits FROM t WHERE {BUILDING} IS NOT NULL GROUP BY ALL HAVING count(DISTINCT {SPLIT}) > 1",
-    "ref_u4_keyed_diff": f"WITH {SNAPSHOTS} SELECT o_orderkey, status, changed FROM e",
-    "ref_u6_off_target": f"""WITH {SNAPSHOTS}, f AS (SELECT e.status, orders.o_orderpriority FROM e JOIN orders USING (o_orderkey) WHERE o_orderkey % 7 <> 0), g AS (SELECT o_orderpriority, count(*) FILTER (status = 'created') AS c, count(*) FILTER (status = 'deleted') AS x, count(*) FILTER (status = 'modified') AS modified FROM f GROUP BY ALL)
-    SELECT o_orderpriority, c - least(c, x) AS created, x - least(c, x) AS deleted, modified FROM g""",
-    "ref_u7_edit_set": f"""WITH {SNAPSHOTS} SELECT orders.o_orderstatus AS mode, e.status, count(*) AS n FROM e JOIN orders USING (o_orderkey) WHERE (orders.o_orderstatus = 'F' AND e.status = 'deleted') OR (orders.o_orderstatus = 'O' AND e.status = 'created') OR orders.o_orderstatus = 'P' GROUP BY ALL""",
+    "ref_u4_keyed_diff": f"WITH {SNAPSHOTS} SELECT task_id, status, changed FROM e",
+    "ref_u6_off_target": f"""WITH {SNAPSHOTS}, {TASKS}, g AS (SELECT category, count(*) FILTER (status = 'created') AS c, count(*) FILTER (status = 'deleted') AS x, count(*) FILTER (status = 'modified') AS modified FROM e JOIN k USING (task_id) WHERE operation IS DISTINCT FROM 'update' GROUP BY ALL)
+    SELECT category, c - least(c, x) AS created, x - least(c, x) AS deleted, modified FROM g""",
+    "ref_u7_edit_set": f"""WITH {SNAPSHOTS}, {TASKS} SELECT operation AS mode, status, count(*) AS n FROM e JOIN k USING (task_id) WHERE (operation = 'delete' AND status = 'deleted') OR (operation = 'create' AND status = 'created') OR operation = 'update' GROUP BY ALL""",
     "ref_w1_round_robin": f"WITH {_W1} SELECT * FROM o",
-    "ref_w2_chunked": """WITH c AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_custkey <= 200) SELECT o_custkey, o_orderkey, ((rn - 1) // 3)::INT AS chunk, row_number() OVER (PARTITION BY (rn - 1) // 3 ORDER BY o_custkey, rn)::INT AS place FROM c""",
+    "ref_w2_chunked": """WITH c AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) SELECT o_custkey, o_orderkey, ((rn - 1) // 3)::INT AS chunk, row_number() OVER (PARTITION BY (rn - 1) // 3 ORDER BY o_custkey, rn)::INT AS place FROM c""",
     "ref_w3_runs": f"""WITH {_ISLAND}, r AS (SELECT *, (row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) - 1) // 3 AS part FROM i) SELECT user_id, island, part, count(*) AS n, min(event_id) AS "first" FROM r GROUP BY ALL""",
     "ref_w4_longest_run": f"WITH {_ISLAND}, r AS (SELECT user_id, island, count(*) AS n FROM i GROUP BY ALL) SELECT user_id, max(n) AS longest FROM r GROUP BY user_id",
     "ref_w5_repeat_after_error": """WITH e AS (SELECT *, max((event_type = 'error')::INT) OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM events) SELECT user_id, count(*) AS repeats FROM e WHERE f = 1 GROUP BY user_id""",
@@ -448,6 +451,6 @@ SQL = {
     "ref_z13_canonical": f"""WITH {POOL} SELECT task_id, rec_id FROM p WHERE task_id IS NOT NULL AND task_id NOT IN (SELECT task_id FROM outcome WHERE task_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY created_at, rec_id) = 1""",
     "ref_z14_manifest": f"""WITH {_Z3} SELECT operation, count(*) AS n, count(DISTINCT task_id) AS ids, count(DISTINCT building) AS buildings, count(DISTINCT model) AS models FROM s WHERE depth <= quota GROUP BY ROLLUP (operation)""",
     "ref_z15_funnel": """WITH o AS (SELECT DISTINCT task_id, stage || ':' || coalesce(reason, 'unknown') AS why FROM outcome) SELECT why, count(*) AS n, list_sort(list(task_id))[1:5] AS examples FROM o GROUP BY why""",
-    "ref_z16_batch_scope": """WITH b AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 7), x AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 7 AND l_returnflag = 'R'), y AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 8 AND l_returnflag = 'R')
-    SELECT l_partkey, 'not_touched' AS fault FROM b WHERE l_partkey NOT IN (SELECT l_partkey FROM x) UNION ALL SELECT l_partkey, 'outside' FROM y WHERE l_partkey NOT IN (SELECT l_partkey FROM b)""",
+    "ref_z16_batch_scope": """WITH b AS (SELECT l_suppkey, l_partkey, bool_or(l_returnflag = 'R') AS r, bool_or(l_linestatus = 'F') AS f FROM lineitem GROUP BY ALL) SELECT l_suppkey, 'not_touched' AS fault, count(*) AS n FROM b WHERE NOT r GROUP BY ALL
+    UNION ALL SELECT l_suppkey, 'outside', count(*) FROM b WHERE r AND NOT f GROUP BY ALL""",
 }

@@ -99,20 +99,28 @@ def t16_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(why.alias("why")).agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"))
 
 
-def t17_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per building at most two requests that differ by words: a fold over its first twenty in order, so it depends on order and
-    never holds more."""
-    rows = records(spark, sf_dir, "prompt", "building_id").where("prompt is not null")
-    first = rows.join(pool(spark, sf_dir).select("rec_id", "building"), "rec_id").where("building is not null").withColumn("n", depth(["building"], "rec_id")).where("n <= 20")
-    listed = first.groupBy("building").agg(F.array_sort(F.collect_list(F.struct("n", "rec_id", F.array_distinct(text.words(F.col("prompt"))).alias("w")))).alias("items"))
-    none = F.array().cast("array<struct<n:int,rec_id:bigint,w:array<string>>>")
-
-    def step(kept, item):
-        near = F.exists(kept, lambda k: F.size(F.array_intersect(k["w"], item["w"])) * 10 >= F.size(F.array_union(k["w"], item["w"])) * 3)
-        return F.when((F.size(kept) >= 2) | near, kept).otherwise(F.concat(kept, F.array(item)))
-
-    kept = F.aggregate("items", none, step)
-    return listed.select("building", F.explode(F.transform(kept, lambda k: k["rec_id"])).alias("rec_id"))
+def t17_harvest(spark: SparkSession, sf_dir: str, most: int = 2, percent: int = 30) -> DataFrame:
+    """Per building the first requests that differ by words from those kept before, at most two.
+
+    The result depends on the order, so a building's rows stream through one task in order; it holds the kept ones alone.
+    """
+    rows = records(spark, sf_dir, "prompt").where("prompt is not null").join(pool(spark, sf_dir).select("rec_id", "building"), "rec_id").where("building is not null")
+    rows = rows.select("building", "rec_id", F.array_distinct(text.words(F.col("prompt"))).alias("words")).repartition("building").sortWithinPartitions("building", "rec_id")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept = None, []
+        for batch in batches:
+            out = []
+            for building, rec_id, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if building != at:
+                    at, kept = building, []
+                mine = set(words)
+                if len(kept) < most and not any(100 * len(k & mine) >= percent * len(k | mine) for k in kept):
+                    kept.append(mine)
+                    out.append((building, rec_id))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["building", "rec_id"])
+
+    return rows.mapInArrow(run, "building string, rec_id long")
 
 
 def t19_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def f19_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symmetric ratio of two sizes, undefined if one is not positive; exponential score of one less it."""
     a, b = F.col("l_quantity"), F.col("l_linenumber").cast("double")
     r = F.when((a > 0) & (b > 0), F.least(a, b) / F.greatest(a, b))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", r.alias("ratio"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r.alias("ratio"))
     return rows.withColumn("reward", F.greatest(F.lit(-0.2), F.least(F.lit(1.0), (F.col("ratio") - 0.25) / 0.75)))
 
 
@@ -196,7 +196,7 @@ def m2_mean_of_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m7_map_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Properties of two orders of one customer that agree within five percent, as share of all properties."""
-    o = table(spark, sf_dir, "orders").where("o_custkey <= 300")
+    o = table(spark, sf_dir, "orders")
     props = F.create_map(F.lit("price"), F.col("o_totalprice"), F.lit("year"), F.year("o_orderdate").cast("double"), F.lit("month"), F.month("o_orderdate").cast("double"))
     by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     rows = o.select("o_orderkey", props.alias("p"), F.lag(props).over(by).alias("q")).where("q is not null")
@@ -206,7 +206,7 @@ def m7_map_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m12_budget_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A budget of 4096 samples split in proportion to order value, at least 8 and at most 1024 each, half to even."""
-    o = table(spark, sf_dir, "orders").where("o_custkey <= 300").withColumn("cents", F.floor(F.col("o_totalprice") * 100))
+    o = table(spark, sf_dir, "orders").withColumn("cents", F.floor(F.col("o_totalprice") * 100))
     share = F.bround(F.lit(4096.0) * F.col("cents") / F.sum("cents").over(Window.partitionBy("o_custkey")))
     return o.select("o_orderkey", F.greatest(F.lit(8), F.least(F.lit(1024), share.cast("int"))).alias("samples"))
 
@@ -241,7 +241,7 @@ SQL = {
     "ref_f14_shapes": "SELECT regexp_replace(reason, '[0-9]+(?:[.][0-9]+)?', 'N', 'g') AS shape, count(*) AS n FROM outcome GROUP BY ALL",
     "ref_f15_paths": f"SELECT {MODEL} AS model, count(DISTINCT input_ifc) AS spellings, count(*) AS n FROM task WHERE {MODEL} IS NOT NULL GROUP BY ALL",
     "ref_f17_template": "SELECT n_nationkey, array_to_string(list_transform(str_split(n_name, ' '), lambda w: upper(left(w, 1)) || lower(w[2:])), ' ') || ' lies in ' || lower(r_name) || ' (no. ' || lpad(n_nationkey::VARCHAR, 3, '0') || ')' AS sentence FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "ref_f19_ratio": "WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 0 THEN least(l_quantity, l_linenumber) / greatest(l_quantity, l_linenumber) END AS ratio FROM lineitem WHERE l_orderkey < 2000) SELECT *, greatest(-0.2::DOUBLE, least(1.0::DOUBLE, (ratio - 0.25) / 0.75)) AS reward FROM r",
+    "ref_f19_ratio": "WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 0 THEN least(l_quantity, l_linenumber) / greatest(l_quantity, l_linenumber) END AS ratio FROM lineitem) SELECT *, greatest(-0.2::DOUBLE, least(1.0::DOUBLE, (ratio - 0.25) / 0.75)) AS reward FROM r",
     "ref_f22_sector": "WITH a AS (SELECT degrees(atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE)) + 360 AS d FROM embeddings) SELECT floor((CASE WHEN d >= 360 THEN d - 360 ELSE d END) / 45)::BIGINT AS sector, count(*) AS n FROM a GROUP BY ALL",
     "ref_f23_keys": f"WITH {REQUESTS}, s AS (SELECT rec_id, sha256(lower(text)) AS s FROM q) SELECT rec_id, s[1:16] AS key, ('0x' || s[1:6])::BIGINT AS seed FROM s",
     "ref_g5_duplicate_groups": f"""WITH RECURSIVE {_COPIES}, l AS (SELECT a, b FROM j UNION SELECT b, a FROM j), r AS (SELECT doc_id AS x, doc_id AS y FROM c UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a), m AS (SELECT x, min(y) AS group_id FROM r GROUP BY x),
@@ -252,7 +252,7 @@ SQL = {
     d AS (SELECT x.s_nationkey AS a, y.s_nationkey AS b, sum(x.c * y.c)::BIGINT AS dot FROM h x JOIN h y USING (p_brand) WHERE x.s_nationkey < y.s_nationkey GROUP BY ALL) SELECT a, b, dot, qa.q AS qa, qb.q AS qb FROM d JOIN q qa ON qa.s_nationkey = a JOIN q qb ON qb.s_nationkey = b ORDER BY dot::DOUBLE * dot / qa.q / qb.q DESC, a, b LIMIT 20""",
     "ref_m2_mean_of_known": """WITH a AS (SELECT adapter, list_filter([floor(score.geometry * 1000)::BIGINT, floor(score.semantics * 1000)::BIGINT, floor(score.topology * 1000)::BIGINT], lambda x: x IS NOT NULL) AS l FROM task_result)
     SELECT adapter, len(l)::INT AS known, sum(CASE WHEN len(l) > 0 THEN floor(list_sum(l)::DOUBLE / len(l)) ELSE 0 END)::BIGINT AS thousandths, count(*) AS n FROM a GROUP BY ALL""",
-    "ref_m7_map_match": """WITH o AS (SELECT o_orderkey, [o_totalprice, year(o_orderdate)::DOUBLE, month(o_orderdate)::DOUBLE] AS p, lag([o_totalprice, year(o_orderdate)::DOUBLE, month(o_orderdate)::DOUBLE]) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS q FROM orders WHERE o_custkey <= 300)
+    "ref_m7_map_match": """WITH o AS (SELECT o_orderkey, [o_totalprice, year(o_orderdate)::DOUBLE, month(o_orderdate)::DOUBLE] AS p, lag([o_totalprice, year(o_orderdate)::DOUBLE, month(o_orderdate)::DOUBLE]) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS q FROM orders)
     SELECT o_orderkey, len(list_filter([1, 2, 3], lambda i: abs(p[i] - q[i]) <= 0.05::DOUBLE * greatest(abs(p[i]), abs(q[i]))))::INT AS agree, 3::INT AS of FROM o WHERE q IS NOT NULL""",
-    "ref_m12_budget_split": "WITH o AS (SELECT o_orderkey, o_custkey, floor(o_totalprice * 100)::BIGINT AS cents FROM orders WHERE o_custkey <= 300) SELECT o_orderkey, greatest(8, least(1024, round_even(4096.0::DOUBLE * cents / (sum(cents) OVER (PARTITION BY o_custkey))::DOUBLE, 0)::INT)) AS samples FROM o",
+    "ref_m12_budget_split": "WITH o AS (SELECT o_orderkey, o_custkey, floor(o_totalprice * 100)::BIGINT AS cents FROM orders) SELECT o_orderkey, greatest(8, least(1024, round_even(4096.0::DOUBLE * cents / (sum(cents) OVER (PARTITION BY o_custkey))::DOUBLE, 0)::INT)) AS samples FROM o",
 }
