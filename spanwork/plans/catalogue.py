@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanwork.plans import drift, graphs, results, selecting, sequences, texts
+from spanwork.plans import checks, drift, graphs, results, selecting, sequences, texts
 
-MODULES = (results, selecting, texts, graphs, sequences, drift)
+MODULES = (results, selecting, texts, graphs, sequences, checks, drift)
 FLAGSHIP = "completion_by_dim"
 
 

@@ -214,6 +214,9 @@ def m12_budget_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 _GRAMS = "list_distinct(list_transform(range(1, len({0}) - {1} + 2), lambda i: array_to_string({0}[i:i + {1} - 1], ' ')))"
 _GUID = "list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^0-9A-Za-z_$])([0-3][0-9A-Za-z_$]{21})(?:$|[^0-9A-Za-z_$])', 1), lambda x: x))"
+_ORDINALS = "text"
+for _i, _w in enumerate(text.ORDINALS, 1):
+    _ORDINALS = f"regexp_replace({_ORDINALS}, '\\b{_w}\\b', '{_i}', 'g')"
 _COPIES = f"c AS (SELECT array_to_string({_W.format('text')}, ' ') AS plain, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY ALL), w AS (SELECT doc_id, str_split(plain, ' ') AS w FROM c), s AS (SELECT doc_id, unnest({_GRAMS.format('w', 5)}) AS g FROM w), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL), j AS (SELECT a, b, common FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 10 * common >= 8 * (na.n + nb.n - common))"
 
 QUERIES = {
@@ -229,10 +232,12 @@ SQL = {
     "ref_a20_shares": "WITH s AS (SELECT regexp_replace(lower(source), '[^a-z0-9]', '', 'g') AS k FROM documents) SELECT CASE k WHEN 'sitechat' THEN 1 WHEN 'mail' THEN 2 WHEN 'issuethread' THEN 3 WHEN 'reviewnote' THEN 4 WHEN 'specsheet' THEN 5 ELSE 6 END AS place, count(*) AS n, count(DISTINCT k) AS sources FROM s GROUP BY ALL",
     "ref_a23_profile": """WITH k AS (SELECT edit_params AS j, unnest(json_keys(edit_params)) AS name FROM task WHERE edit_params IS NOT NULL), v AS (SELECT name, json_type(j, '$."' || name || '"') AS t FROM k)
     SELECT name, CASE WHEN t = 'NULL' THEN 'null' WHEN t IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'number' WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t = 'ARRAY' THEN 'list' WHEN t = 'OBJECT' THEN 'object' ELSE 'text' END AS kind, count(*) AS n FROM v GROUP BY ALL""",
+    "ref_f1_fold": "SELECT regexp_extract(strip_accents(lower(text)), '([a-z]+)', 1) AS word, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL",
     "ref_f2_tidy": f"WITH {REQUESTS} SELECT md5(trim(regexp_replace(translate(text, '\u2018\u2019\u201a\u201b`\u00b4\u201c\u201d\u201e\u201f\u00ab\u00bb\u2013\u2014\u00a0\u2009\u202f', '''''''''''''\"\"\"\"\"\"--   '), '\\s+', ' ', 'g'))) AS key, count(*) AS n FROM q GROUP BY ALL HAVING count(*) > 1",
     "ref_f3_stem_key": r"SELECT DISTINCT file_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(file_name)), '^.*[\\/]', ''), '\.[a-z0-9]+$', ''), '^[0-9]+[_-]+', ''), '[_-]*[0-9]{4}[_-]?[0-9]{2}[_-]?[0-9]{2}$', '') AS stem FROM raw_record",
     "ref_f6_ngrams": f"WITH {REQUESTS}, w AS (SELECT rec_id, {_W.format('text')} AS w FROM q), g AS (SELECT rec_id, unnest({_GRAMS.format('w', 8)}) AS gram FROM w) SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 10",
     "ref_f7_guids": f"WITH {REQUESTS}, g AS (SELECT rec_id, unnest({_GUID}) AS guid FROM q) SELECT guid, count(*) AS n, min(rec_id) AS first_rec FROM g GROUP BY guid",
+    "ref_f8_numbers": f"WITH {REQUESTS}, x AS (SELECT rec_id, {_ORDINALS} AS text FROM q), n AS (SELECT rec_id, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) AS number FROM x) SELECT number, count(*) AS n, count(DISTINCT rec_id) AS records FROM n GROUP BY number",
     "ref_f10_facts_kept": f"""WITH {REQUESTS}, f AS (SELECT task_id, rec_id, list_distinct(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?')) AS f FROM q WHERE task_id IS NOT NULL), b AS (SELECT rec_id, f, lag(f) OVER (PARTITION BY task_id ORDER BY rec_id) AS b FROM f)
     SELECT rec_id, len(list_filter(b, lambda x: NOT list_contains(f, x)))::INT AS lost, len(list_filter(f, lambda x: NOT list_contains(b, x)))::INT AS new FROM b WHERE b IS NOT NULL""",
     "ref_f11_asks": f"""WITH {REQUESTS} SELECT clarification.slot AS slot, coalesce(contains(clarification.question, '?') AND list_has_any(regexp_split_to_array(lower(clarification.question), '[^a-z]+'), list_transform(clarification.keywords, lambda k: lower(k))), false) AS asks, count(*) AS n FROM q WHERE clarification IS NOT NULL GROUP BY ALL""",
@@ -244,6 +249,8 @@ SQL = {
     "ref_f19_ratio": "WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 0 THEN least(l_quantity, l_linenumber) / greatest(l_quantity, l_linenumber) END AS ratio FROM lineitem) SELECT *, greatest(-0.2::DOUBLE, least(1.0::DOUBLE, (ratio - 0.25) / 0.75)) AS reward FROM r",
     "ref_f22_sector": "WITH a AS (SELECT degrees(atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE)) + 360 AS d FROM embeddings) SELECT floor((CASE WHEN d >= 360 THEN d - 360 ELSE d END) / 45)::BIGINT AS sector, count(*) AS n FROM a GROUP BY ALL",
     "ref_f23_keys": f"WITH {REQUESTS}, s AS (SELECT rec_id, sha256(lower(text)) AS s FROM q) SELECT rec_id, s[1:16] AS key, ('0x' || s[1:6])::BIGINT AS seed FROM s",
+    "ref_f24_language": """WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT len(w) AS n, len(list_filter(w, lambda x: x IN ('die', 'der', 'und', 'nicht', 'noch'))) AS de, len(list_filter(w, lambda x: x IN ('la', 'le', 'les', 'dans', 'est'))) AS fr, len(list_filter(w, lambda x: x IN ('el', 'los', 'las', 'por', 'se'))) AS es FROM w)
+    SELECT CASE WHEN greatest(de, fr, es) * 8 < n THEN 'en' WHEN de = greatest(de, fr, es) THEN 'de' WHEN fr = greatest(de, fr, es) THEN 'fr' WHEN es = greatest(de, fr, es) THEN 'es' END AS language, count(*) AS n FROM s GROUP BY ALL""",
     "ref_g5_duplicate_groups": f"""WITH RECURSIVE {_COPIES}, l AS (SELECT a, b FROM j UNION SELECT b, a FROM j), r AS (SELECT doc_id AS x, doc_id AS y FROM c UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a), m AS (SELECT x, min(y) AS group_id FROM r GROUP BY x),
     d AS (SELECT d.doc_id, m.group_id FROM documents d JOIN c ON c.plain = array_to_string({_W.format('d.text')}, ' ') JOIN m ON m.x = c.doc_id) SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS n FROM d""",
     "ref_j10_near_duplicates": f"WITH {_COPIES} SELECT a, b, common FROM j",
