@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanwork.session import stage_table
+
 
 def hash_order(seed: int, key: str) -> Column:
     """The same order at every run and in every engine that has MD5."""
@@ -38,9 +40,27 @@ def largest_remainder(counts: DataFrame, size: str, n: int, *ties: str) -> DataF
 
 
 def take_quota(df: DataFrame, quotas: DataFrame, cells: list[str], key: str, seed: int = 7) -> DataFrame:
-    """The first ``quota`` rows of each cell in hash order; cells without quota give none."""
-    ranked = df.join(quotas.select(*cells, "quota"), cells).withColumn("depth", depth(cells, hash_order(seed, key), key))
-    return ranked.where(F.col("depth") <= F.col("quota")).drop("quota")
+    """The first ``quota`` rows of each cell in hash order; cells without quota give none, null cells match nothing.
+
+    A histogram over the first three digits of the hash finds the bucket in which a cell reaches its quota; only rows up to it are
+    ranked, so a cell with a third of all rows is not sorted in one task.
+    """
+    hashed = df.join(quotas.select(*cells, "quota"), cells).withColumn("_h", hash_order(seed, key)).withColumn("_b", F.substring("_h", 1, 3))
+    upto = F.sum("_n").over(Window.partitionBy(*cells).orderBy("_b"))
+    counts = hashed.groupBy(*cells, "_b", "quota").agg(F.count("*").alias("_n")).withColumn("_upto", upto)
+    edge = counts.where(F.col("_upto") - F.col("_n") < F.col("quota")).groupBy(*cells).agg(F.max("_b").alias("_edge"))
+    near = hashed.join(edge, cells).where(F.col("_b") <= F.col("_edge")).withColumn("depth", depth(cells, "_h", key))
+    return near.where(F.col("depth") <= F.col("quota")).drop("quota", "_h", "_b", "_edge")
+
+
+def global_rank(spark: SparkSession, df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """Number rows from 1 in a global order: sorted by ranges, counted per range, numbered within; no task sees all rows."""
+    placed = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    placed = stage_table(spark, placed, "ranked")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    return placed.join(before, "_part").withColumn(name, F.col("_before") + inner).drop("_part", "_at", "_before")
 
 
 def chunked(df: DataFrame, group: str, order: list[str], size: int) -> DataFrame:

@@ -292,8 +292,8 @@ def p10_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source models with enough records and operations, under new short keys by size."""
     m = pool(spark, sf_dir).where("model is not null").groupBy("model").agg(F.count("*").alias("n"), F.count_distinct("operation").alias("ops")).where("n >= 5 and ops >= 2")
-    rank = F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), "model")).cast("string")
-    return m.select("model", "n", F.concat(F.lit("B"), F.lpad(rank, 4, "0")).alias("short_key"))
+    ranked = sel.global_rank(spark, m.select("model", "n"), "rank", F.desc("n"), "model")
+    return ranked.select("model", "n", F.concat(F.lit("B"), F.lpad(F.col("rank").cast("string"), 4, "0")).alias("short_key"))
 
 
 def p3_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:

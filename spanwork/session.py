@@ -52,5 +52,19 @@ def stage_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss of an executor
     and keeps column pruning, which ``checkpoint()`` does not."""
     path = f"{shared_dir(spark)}/spanwork-{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Folders of this driver's staged tables.
+_STAGED: list[str] = []
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables staged so far, once no result that reads them is needed any more; returns their number."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

@@ -31,6 +31,18 @@ def test_quotas_and_round_robin(spark):
     assert selection.round_robin(rows.limit(0), ["cell"], "id", 5).count() == 0
 
 
+def test_quota_and_global_rank_equal_plain_windows(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else "cold", None if i % 7 else "x") for i in range(3000)], "id long, cell string, note string")
+    quota = spark.createDataFrame([("hot", 700), ("cold", 5), ("none", 4), (None, 9)], "cell string, quota long")
+    got = {(r.id, r.depth) for r in selection.take_quota(rows, quota, ["cell"], "id").collect()}
+    plain = rows.join(quota, "cell").withColumn("depth", selection.depth(["cell"], selection.hash_order(7, "id"), "id")).where("depth <= quota")
+    assert got == {(r.id, r.depth) for r in plain.collect()} and len(got) == 705
+    ranked = selection.global_rank(spark, rows.repartition(5), "n", F.desc("cell"), "id").collect()
+    want = sorted(((r.id, r.cell) for r in rows.collect()), key=lambda r: (r[1] == "cold", r[0]))
+    assert {r.id: r.n for r in ranked} == {i: n for n, (i, _) in enumerate(want, 1)}
+    assert selection.global_rank(spark, rows.limit(0), "n", "id").count() == 0
+
+
 def test_islands_and_repair(spark):
     rows = spark.createDataFrame([(1, i, k) for i, k in enumerate(["x", "x", None, None, "x", "y"])], "u long, t long, k string")
     got = [r.island for r in selection.islands(rows, ["u"], ["t"], F.col("k")).orderBy("t").collect()]
