@@ -84,9 +84,11 @@ def cross_split_overlap(
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("e_n") + F.col("t_n")) - 1e-9)
     fits = (F.least("e_n", "t_n") >= F.lit(threshold) * F.greatest("e_n", "t_n") - 1e-9) & (most + F.least("e_at", "t_at") >= need)
     keys = ["e_hi", "e_lo", "t_hi", "t_lo"]
-    candidates = ev.join(tr, ["block", "shingle"]).where(fits).select(*keys).distinct()
+    # how many rows the index makes is not in the statistics, so these joins are not left to an estimate that might broadcast
+    candidates = ev.hint("merge").join(tr, ["block", "shingle"]).where(fits).select(*keys).distinct()
     text = forms.select(*CLASS, "canonical")
-    candidates = candidates.join(text.toDF("e_hi", "e_lo", "e_text"), ["e_hi", "e_lo"]).join(text.toDF("t_hi", "t_lo", "t_text"), ["t_hi", "t_lo"])
+    candidates = candidates.join(text.toDF("e_hi", "e_lo", "e_text").hint("merge"), ["e_hi", "e_lo"])
+    candidates = candidates.join(text.toDF("t_hi", "t_lo", "t_text").hint("merge"), ["t_hi", "t_lo"])
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
