@@ -97,7 +97,7 @@ def near_edit_groups(
     text = canonical.where(F.col("block").isNotNull()).groupBy("hi", "lo").agg(F.first("canonical").alias("canonical"))
     rows = (
         forms.join(crowded.select("part", shards.alias("shards")), "part")
-        .join(text, ["hi", "lo"])
+        .join(text.hint("merge"), ["hi", "lo"])  # its size on disk says little about its size in memory
         .withColumn("tree", F.explode(F.sequence(F.lit(0), home)))
         .select("part", "tree", (F.col("tree") == home).alias("node"), (F.col("shards") > 1).alias("cut"), "hi", "lo", "canonical")
     )
