@@ -11,12 +11,14 @@ from spanwork.sources.tables import latest, table
 
 
 def shares(spark: SparkSession, sf_dir: str) -> dict[str, float]:
-    """Proportions of the splits over all runs; accepted tasks that went to neither train nor validation are test."""
+    """Proportions of the splits over all runs; accepted tasks that went to neither train nor validation are test.  Without any
+    run, eight to one to one."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     rest = F.greatest(F.lit(0), n("n_accepted") - n("n_train") - n("n_validation"))
     r = table(spark, sf_dir, "funnel").agg(F.sum(n("n_train")).alias("train"), F.sum(n("n_validation")).alias("validation"), F.sum(rest).alias("test")).first()
-    total = sum(r.asDict().values())
-    return {k: v / total for k, v in r.asDict().items()}
+    counts = {k: v or 0 for k, v in r.asDict().items()}
+    total = sum(counts.values())
+    return {k: v / total for k, v in counts.items()} if total else {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
 def related(spark: SparkSession, sf_dir: str) -> Components:
