@@ -37,3 +37,14 @@ def within_distance(points: DataFrame, reach: int) -> DataFrame:
     look = at.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy", around).select("b", "bx", "by", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
     d = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
     return at.join(look, ["cx", "cy"]).where((F.col("id") < F.col("b")) & (d <= reach * reach)).select(F.col("id").alias("a"), "b")
+
+
+def turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """1 if a, b, c turn left, -1 if right, 0 on one line."""
+    return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+
+
+def segments_cross(p: tuple[Column, ...], q: tuple[Column, ...]) -> Column:
+    """Segments (x0, y0, x1, y1) that cross properly: each has the other's ends on both sides."""
+    a, b, c, d = p[:2], p[2:], q[:2], q[2:]
+    return (turn(*a, *b, *c) * turn(*a, *b, *d) < 0) & (turn(*c, *d, *a) * turn(*c, *d, *b) < 0)

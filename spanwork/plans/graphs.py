@@ -199,6 +199,26 @@ def j13_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.join(k.toDF("id", "ref"), ["ref", "id"]).where("ref < id").select("ref", "id")
 
 
+def g17_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagonals of boxes that cross: only boxes that overlap can, so the grid join goes first."""
+    b = _boxes(spark, sf_dir)
+    rows = spatial.overlap_join(b, b, 100).where("a < b")
+    rising = lambda p: tuple(F.col(p + c) for c in ("x0", "y0", "x1", "y1"))
+    falling = lambda p: tuple(F.col(p + c) for c in ("x0", "y1", "x1", "y0"))
+    return rows.where(spatial.segments_cross(rising("a"), falling("b"))).select("a", "b")
+
+
+def r7_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for each anchor by place: points for the five nearest (10 down to 2), for lying above (6), at an offset (5) and to the east (8);
+    from 10 points on, ten at most, ties by id."""
+    a, e = anchors(spark, sf_dir), elements(spark, sf_dir)
+    east = a.join(e, "storey").where("id <> ref and x > ax and abs(y - ay) <= x - ax").select("ref", "id", F.lit(8).alias("s"))
+    near = refs.knn(a, e, 5).select("ref", "id", (12 - 2 * F.col("place")).alias("s"))
+    parts = [near, refs.above(a, e, 200, 150).withColumn("s", F.lit(6)), refs.offset(a, e, 150, 120).withColumn("s", F.lit(5)), east]
+    total = sets.union_all(*parts).groupBy("ref", "id").agg(F.sum("s").alias("score")).where("score >= 10")
+    return total.withColumn("place", F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("score"), "id"))).where("place <= 10")
+
+
 def r_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates for each evaluation request out of the elements that requests of its source model name.
 
@@ -242,10 +262,10 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY score DESC, num
 _D2 = "(x - ax) * (x - ax) + (y - ay) * (y - ay)"
 
 QUERIES = {
-    "ref_g2_delta_prf": g2_delta_prf, "ref_g4_remap": g4_remap, "ref_g6_ancestors": g6_ancestors, "ref_g7_dangling": g7_dangling, "ref_g10_bounds": g10_bounds, "ref_g22_in_line": g22_in_line, "ref_g23_free_slots": g23_free_slots,
+    "ref_g2_delta_prf": g2_delta_prf, "ref_g4_remap": g4_remap, "ref_g6_ancestors": g6_ancestors, "ref_g7_dangling": g7_dangling, "ref_g10_bounds": g10_bounds, "ref_g17_crossings": g17_crossings, "ref_g22_in_line": g22_in_line, "ref_g23_free_slots": g23_free_slots,
     "ref_g24_within": g24_within, "ref_g25_unique_labels": g25_unique_labels, "ref_g26_inventory": g26_inventory,
     "ref_j13_mutual_nearest": j13_greedy, "ref_j15_box_overlap": j15_box_overlap, "ref_j16_points_in_boxes": j16_points_in_boxes, "ref_j17_knn": j17_knn, "ref_j18_two_hops": j18_two_hops,
-    "ref_r_candidates": r_candidates, "ref_r12_list": r12_list,
+    "ref_r7_geometry": r7_geometry, "ref_r_candidates": r_candidates, "ref_r12_list": r12_list,
     "ref_resolve_above": resolve_above, "ref_resolve_beside": resolve_beside, "ref_resolve_between": resolve_between, "ref_resolve_bounding": resolve_bounding, "ref_resolve_extreme": resolve_extreme, "ref_resolve_nearest": resolve_nearest,
     "ref_resolve_negation": resolve_negation, "ref_resolve_offset": resolve_offset, "ref_resolve_opposite": resolve_opposite, "ref_resolve_ordinal": resolve_ordinal, "ref_resolve_set": resolve_set,
 }
@@ -256,6 +276,8 @@ SQL = {
     "ref_g6_ancestors": "WITH RECURSIVE a AS (SELECT p_partkey AS id, p_partkey AS up, 0 AS depth FROM part UNION ALL SELECT id, up // 3, depth + 1 FROM a WHERE up // 3 > 0 AND depth < 8) SELECT depth, count(*) AS n, count(DISTINCT up) AS ancestors FROM a WHERE depth > 0 GROUP BY depth",
     "ref_g7_dangling": """SELECT 'result' AS kind, count(*) AS n FROM task_result WHERE task_id IS NOT NULL AND task_id NOT IN (SELECT task_id FROM task WHERE task_id IS NOT NULL) UNION ALL SELECT 'request', count(*) FROM request_props WHERE base_task_id IS NOT NULL AND base_task_id NOT IN (SELECT task_id FROM task WHERE task_id IS NOT NULL) UNION ALL SELECT 'outcome', count(*) FROM outcome WHERE run_id IS NOT NULL AND run_id NOT IN (SELECT run_id FROM funnel)""",
     "ref_g10_bounds": f"WITH {ELEMENTS} SELECT storey, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM el GROUP BY storey",
+    "ref_g17_crossings": f"""WITH {BOXES}, p AS (SELECT a.id AS a, b.id AS b, a.x0 AS ax, a.y0 AS ay, a.x1 AS bx, a.y1 AS by_, b.x0 AS cx, b.y1 AS cy, b.x1 AS dx, b.y0 AS dy FROM bx a JOIN bx b ON a.id < b.id)
+    SELECT a, b FROM p WHERE sign((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) * sign((bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax)) < 0 AND sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * sign((dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx)) < 0""",
     "ref_g22_in_line": f"WITH {ELEMENTS} SELECT a.storey, a.id AS a, b.id AS b FROM el a JOIN el b ON a.storey = b.storey AND a.id < b.id AND abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 300",
     "ref_g23_free_slots": f"WITH {BOXES}, w AS (SELECT storey, max(x1) OVER (PARTITION BY storey ORDER BY x0, id ROWS UNBOUNDED PRECEDING) AS from_x, lead(x0) OVER (PARTITION BY storey ORDER BY x0, id) AS to_x FROM bx JOIN el USING (id)) SELECT * FROM w WHERE to_x - from_x >= 30",
     "ref_g24_within": f"WITH {ELEMENTS} SELECT a.id AS a, b.id AS b FROM el a JOIN el b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 3600",
@@ -266,6 +288,9 @@ SQL = {
     "ref_j16_points_in_boxes": f"WITH {BOXES} SELECT bx.id AS a, count(*) AS n FROM bx JOIN el ON el.x BETWEEN x0 AND x1 AND el.y BETWEEN y0 AND y1 GROUP BY bx.id",
     "ref_j17_knn": f"WITH {ANCHORS} SELECT ref, id, row_number() OVER (PARTITION BY ref ORDER BY {_D2} + (z - az) * (z - az), id)::INT AS place FROM n QUALIFY place <= 5",
     "ref_j18_two_hops": f"""WITH {EDGES}, o AS (SELECT DISTINCT b.src AS part FROM ed a JOIN ed b USING (dst) WHERE a.src = 1 AND b.src <> 1), w AS (SELECT DISTINCT c.src AS part FROM o JOIN ed b ON b.src = o.part JOIN ed c USING (dst)), s AS (SELECT part, 30 AS s FROM o UNION ALL SELECT part, 18 FROM w), m AS (SELECT part, max(s) AS score FROM s WHERE part <> 1 GROUP BY part) SELECT score, count(*) AS n FROM m GROUP BY score""",
+    "ref_r7_geometry": f"""WITH {ANCHORS}, k AS (SELECT ref, id, row_number() OVER (PARTITION BY ref ORDER BY {_D2} + (z - az) * (z - az), id) AS place FROM n), s AS (SELECT ref, id, 12 - 2 * place AS s FROM k WHERE place <= 5 UNION ALL SELECT ref, id, 6 FROM n WHERE {_D2} <= 40000 AND z - az > 150
+    UNION ALL SELECT ref, id, 5 FROM n WHERE abs(x - ax - 150) <= 120 AND abs(y - ay) <= 120 UNION ALL SELECT ref, id, 8 FROM n WHERE x > ax AND abs(y - ay) <= x - ax), t AS (SELECT ref, id, sum(s)::BIGINT AS score FROM s GROUP BY ALL HAVING sum(s) >= 10)
+    SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, id)::INT AS place FROM t QUALIFY place <= 10""",
     "ref_r_candidates": f"WITH {_R} SELECT rec_id, number, score, place FROM rk",
     "ref_r12_list": f"WITH {_R}, us AS (SELECT *, sum(length(number) + 2) OVER (PARTITION BY rec_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS used FROM rk) SELECT rec_id, string_agg(number, ', ' ORDER BY place) AS line FROM us WHERE used < 60 GROUP BY rec_id",
     "ref_resolve_above": _resolver(f"{_D2} <= 40000 AND z - az > 150"),
