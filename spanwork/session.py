@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +33,25 @@ def local_session(cpus: int = 8, memory: str = "8g", **extra: str) -> SparkSessi
     settings = SETTINGS | {"spark.driver.memory": memory, "spark.sql.shuffle.partitions": str(cpus)} | extra
     spark = builder.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per context: they run in other folders, or on other machines, where it is not
+    installed.  It travels as a zip of compiled modules."""
+    context = spark.sparkContext
+    if getattr(context, "_spanwork_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="spanwork-zip-")  # the driver's; Spark hands the file on to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = Path(__file__).parent
+    with zipfile.PyZipFile(f"{folder}/spanwork.zip", "w", zipfile.ZIP_DEFLATED) as bundle:
+        bundle.writepy(str(root))
+    context.addPyFile(f"{folder}/spanwork.zip")
+    context._spanwork_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can read; the session's setting wins."""
     context = spark.sparkContext
