@@ -9,15 +9,17 @@ A toxic document is mostly clean sentences.  The first round takes all its sente
 documents have and the corpus as a whole has not; the next rounds keep of each toxic document only the sentences
 that score like it.  A document's score is that of its worst sentence.
 
-Scale: the classifier is fitted on at most ``MAX_LABELLED`` labelled and ``MAX_UNLABELLED`` other documents, chosen by the hash of
-their ids, on the driver; scoring reads every document whole, in a map without a shuffle.
+Scale: only the weights are fitted on at most ``MAX_LABELLED`` labelled and ``MAX_UNLABELLED`` other documents, chosen by the hash of
+their ids, on the driver; each weighs as many documents as it stands for.  How often units occur, the class prior, the first cut and
+the threshold come from all documents: units are counted once by aggregation, and histograms of scores, of fixed size, come to the driver.
+Scoring reads every document whole, in a map without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwork.llm.fold import fold
+from spanwork.session import stage_table
 
 MAX_LABELLED = 10_000
 MAX_UNLABELLED = 10_000
@@ -39,6 +42,8 @@ FREQUENT, LIFT = 5, 3.0
 STEPS = 450
 #: Buckets of the feature hash.
 BUCKETS = 1 << 18
+#: Bins of the histograms of scores: this many for each step of 1, and scores to both sides.
+BINS, REACH = 128, 128
 
 # Figures and signs that stand for letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e"}
@@ -125,9 +130,13 @@ class Scorer:
             self._cache[key] = g
         return g
 
+    def worst(self, text: str | None) -> float | None:
+        """The score of the worst unit, None without words."""
+        return max((self.sentence(s) for s in units(text)), default=None) if text else None
+
     def document(self, text: str | None) -> float:
         """Between 0 and 1; a text without words scores 0."""
-        g = max((self.sentence(s) for s in units(text)), default=None) if text else None
+        g = self.worst(text)
         return 0.0 if g is None else float(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
 
@@ -188,30 +197,96 @@ def class_prior(scores: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray
     return float(np.clip((upper / lower)[enough].min(), least, 0.5))
 
 
-def valley(scores: np.ndarray, confirmed: np.ndarray, clean: np.ndarray, width: float = 0.35) -> float:
+def score_bins(scores: np.ndarray) -> np.ndarray:
+    """The bin of each score."""
+    return np.clip(np.floor((np.asarray(scores, float) + REACH) * BINS), 0, 2 * REACH * BINS - 1).astype(np.int64)
+
+
+def bin_scores() -> np.ndarray:
+    """The score in the middle of each bin."""
+    return (np.arange(2 * REACH * BINS) + 0.5) / BINS - REACH
+
+
+def histogram(scores: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    return np.bincount(score_bins(scores), counts, minlength=2 * REACH * BINS).astype(float)
+
+
+def first_cut(counts: np.ndarray) -> float:
+    """The score that the highest ``KEPT`` of all units reach, by a histogram of units."""
+    falling = np.cumsum(counts[::-1])
+    return float((len(counts) - 1 - np.searchsorted(falling, KEPT * falling[-1])) / BINS - REACH)
+
+
+def _quantile(x: np.ndarray, counts: np.ndarray, q: float) -> float:
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(counts[order])
+    return float(x[order][min(len(x) - 1, int(np.searchsorted(upto, q * upto[-1])))])
+
+
+def valley(scores: np.ndarray, confirmed: np.ndarray, clean: np.ndarray, width: float = 0.35, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> float:
     """The threshold: where documents are rarest between the bulk of all documents and the bulk of the confirmed ones, in the middle of
     the widest stretch that is as empty as that, among the places that tell confirmed documents from those found clean best
-    (but for a doubtful document or two: reviewers err)."""
-    low = float(np.quantile(scores, 0.85))
-    high = float(np.quantile(confirmed[confirmed > low], 0.3)) if (confirmed > low).any() else low
+    (but for a doubtful document or two: reviewers err).  ``counts``: how many documents have each score of the three."""
+    n, n_confirmed, n_clean = counts or tuple(np.ones(len(x)) for x in (scores, confirmed, clean))
+    low = _quantile(scores, n, 0.85)
+    above = confirmed > low
+    high = _quantile(confirmed[above], n_confirmed[above], 0.3) if above.any() else low
     if high <= low:
         return high
     grid = np.linspace(low, high, 200)[:-1]  # never a score that confirmed documents have
-    weight = np.exp(-0.5 * ((grid[:, None] - scores[scores > low - 3 * width][None, :]) / width) ** 2).sum(axis=1)
-    share = lambda x: (x[None, :] > grid[:, None]).mean(axis=1) if len(x) else 0.0
-    gain = share(confirmed) - share(clean)
-    good = gain >= gain.max() - max(0.0015, 1.5 / len(confirmed))  # a doubtful document more or less
+    near = scores > low - 3 * width
+    weight = np.exp(-0.5 * ((grid[:, None] - scores[near][None, :]) / width) ** 2) @ n[near]
+    share = lambda x, k: (x[None, :] > grid[:, None]) @ k / k.sum() if len(x) else 0.0
+    gain = share(confirmed, n_confirmed) - share(clean, n_clean)
+    good = gain >= gain.max() - max(0.0015, 1.5 / n_confirmed.sum())  # a doubtful document more or less
     empty = np.concatenate([[False], good & (weight <= weight[good].min() + 0.5), [False]])
     begins, ends = np.flatnonzero(~empty[:-1] & empty[1:]), np.flatnonzero(empty[:-1] & ~empty[1:])
     k = int(np.argmax(ends - begins))
     return float((grid[begins[k]] + grid[ends[k] - 1]) / 2)
 
 
-def train(labelled: list[tuple[str | None, float]], unlabelled: list[str | None], rounds: int = 4) -> Scorer:
+class Corpus:
+    """What is taken from all documents, here from texts in memory with the share of reviewers who found each offensive (-1: none looked)."""
+
+    def __init__(self, texts: list[str | None], share: np.ndarray) -> None:
+        self.texts, self.share = texts, share
+        self.n_docs, self.n_confirmed = len(texts), int((share > 0.5).sum())
+        self._held: tuple[Counter, Counter] | None = None
+
+    def _units(self) -> tuple[Counter, Counter]:
+        if self._held is None:
+            self._held = Counter(), Counter()
+            for text, x in zip(self.texts, self.share):
+                own = {tuple(k) for k in units(text)}
+                self._held[0].update(own)
+                if x > 0.5:
+                    self._held[1].update(own)
+        return self._held
+
+    def held(self, keys: list[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        """How many documents hold each unit, and how many confirmed ones."""
+        n, confirmed = self._units()
+        return np.array([n[k] for k in keys], float), np.array([confirmed[k] for k in keys], float)
+
+    def unit_scores(self, scorer: Scorer) -> np.ndarray:
+        """Histogram of the scores of all units, each once per document."""
+        n = self._units()[0]
+        return histogram(np.array([scorer.sentence(k) for k in n]), np.array(list(n.values()), float))
+
+    def document_scores(self, scorer: Scorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Histograms of the worst scores of all documents, of the confirmed ones and of those that all reviewers found clean."""
+        worst = np.array([np.nan if (g := scorer.worst(t)) is None else g for t in self.texts], float)
+        there = ~np.isnan(worst)
+        return histogram(worst[there]), histogram(worst[there & (self.share > 0.5)]), histogram(worst[there & (self.share == 0)])
+
+
+def train(labelled: list[tuple[str | None, float]], unlabelled: list[str | None], rounds: int = 4, corpus: Corpus | None = None, stands_for: tuple[float, float] = (1.0, 1.0)) -> Scorer:
     """``labelled`` has a text and the share of its reviewers who found it offensive; above a half it is confirmed toxic, all
     other text is unlabelled: reviewers err, and what they looked at is no fair sample.  What all reviewers found clean only helps to
     set the threshold.
 
+    The texts may be samples of ``corpus``; ``stands_for`` says for how many documents of it one of either list stands.
+
     After the first round each confirmed document keeps, as positive examples, its units among the highest ``KEPT`` of all,
     after the next ones those that score at least ``MARGIN``; never one that is as frequent elsewhere.
     """
@@ -221,35 +296,41 @@ def train(labelled: list[tuple[str | None, float]], unlabelled: list[str | None]
     confirmed = np.flatnonzero(share > 0.5)
     if not keys or not len(confirmed):
         return Scorer(np.zeros(BUCKETS), -30.0)  # nothing confirmed
+    corpus = corpus or Corpus([t for t, _ in labelled] + unlabelled, share)
     at = {k: i for i, k in enumerate(keys)}
     rows = _Rows(keys)
     index = [np.unique(np.array([at[tuple(k)] for k in d], np.int64)) for d in docs]  # each unit once per document
-    u = np.bincount(np.concatenate(index), minlength=len(keys)).astype(float)
+    weight = np.repeat(stands_for, [len(labelled), len(unlabelled)])
+    u = np.bincount(np.concatenate(index), np.repeat(weight, [len(d) for d in index]), minlength=len(keys))
 
     own = [index[i] for i in confirmed]
+    mine = np.unique(np.concatenate(own))
+    if not len(mine):
+        return Scorer(np.zeros(BUCKETS), -30.0)
     # what is frequent must also be more frequent in confirmed documents than in all
-    held = np.bincount(np.concatenate(own), minlength=len(keys))
-    likely = (u < FREQUENT) | (held / np.maximum(u, 1) >= LIFT * len(confirmed) / len(docs))
+    u[mine], held = corpus.held([keys[i] for i in mine])
+    likely = np.zeros(len(keys), bool)
+    likely[mine] = (u[mine] < FREQUENT) | (held / np.maximum(u[mine], 1) >= LIFT * corpus.n_confirmed / corpus.n_docs)
     p = np.zeros(len(keys))
     for d in own:  # a document weighs 1, whatever its length
         p[d] += 1.0 / max(1, len(d))
     scorer, cut = fit_nnpu(rows, p, u, 0.3, STEPS // 3), None
     for last in [False] * (rounds - 1) + [True]:
         g = rows.scores(scorer.weights, scorer.bias)
+        everywhere = corpus.unit_scores(scorer)
         if cut is None:  # the first scores have no scale, only an order
-            order = np.argsort(-g, kind="stable")
-            cut = g[order][min(len(keys) - 1, int(np.searchsorted(np.cumsum(u[order]), KEPT * u.sum())))]
+            cut = first_cut(everywhere)
         p = np.zeros(len(keys))
         for d in own:
             p[d[(g[d] >= cut) & likely[d]]] += 1.0
         if not p.any():
             break
-        scorer, cut = fit_nnpu(rows, p, u, class_prior(g, p, u), STEPS if last else STEPS // 3), MARGIN
-    g = rows.scores(scorer.weights, scorer.bias)
-    best = np.array([g[d].max() for d in index if len(d)])
-    toxic = np.array([g[index[i]].max() for i in confirmed if len(index[i])])
-    clean = np.array([g[index[i]].max() for i in np.flatnonzero(share == 0) if len(index[i])])
-    return Scorer(scorer.weights, scorer.bias - valley(best, toxic, clean))
+        prior = class_prior(bin_scores(), histogram(g, p), everywhere)
+        scorer, cut = fit_nnpu(rows, p, u, prior, STEPS if last else STEPS // 3), MARGIN
+    scores = corpus.document_scores(scorer)
+    filled = [np.flatnonzero(n) for n in scores]
+    best, toxic, clean = (bin_scores()[k] for k in filled)
+    return Scorer(scorer.weights, scorer.bias - valley(best, toxic, clean, counts=tuple(n[k] for n, k in zip(scores, filled))))
 
 
 def flag_threshold() -> float:
@@ -265,31 +346,118 @@ def sample_by_hash(df: DataFrame, key: str, most: int, total: int) -> DataFrame:
     return df.where(spot < most / total).limit(2 * most)
 
 
+def _broadcast(spark: SparkSession, scorer: Scorer) -> Callable[[], Scorer]:
+    """The scorer on the workers: at most BUCKETS numbers."""
+    weights = np.flatnonzero(scorer.weights).astype(np.int32)
+    shipped = spark.sparkContext.broadcast((weights, scorer.weights[weights].astype(np.float32), scorer.bias))
+
+    def arrived() -> Scorer:
+        at, values, bias = shipped.value
+        w = np.zeros(BUCKETS)
+        w[at] = values
+        return Scorer(w, bias)
+
+    return arrived
+
+
+class _Tables(Corpus):
+    """The same from tables. texts: doc_id, text. votes: doc_id, share."""
+
+    def __init__(self, spark: SparkSession, texts: DataFrame, votes: DataFrame, n_docs: int, n_confirmed: int) -> None:
+        self.spark, self.docs, self.votes, self.n_docs, self.n_confirmed = spark, texts, votes, n_docs, n_confirmed
+        marked = texts.join(votes.where("share > 0.5").select("doc_id", F.lit(True).alias("confirmed")), "doc_id", "left")
+        counted = marked.select("text", "confirmed").mapInArrow(_count_units, "unit string, n long, held long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+        self.units = stage_table(spark, counted, "units")
+
+    def held(self, keys: list[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        names = [" ".join(k) for k in keys]
+        wanted = self.spark.createDataFrame(pa.table({"unit": names}))  # units of the documents of the fit
+        found = {r["unit"]: (r["n"], r["held"]) for r in self.units.join(wanted, "unit").collect()}
+        n, confirmed = np.array([found[k] for k in names], float).T
+        return n, confirmed
+
+    def unit_scores(self, scorer: Scorer) -> np.ndarray:
+        arrived = _broadcast(self.spark, scorer)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine, counts = arrived(), np.zeros(2 * REACH * BINS)
+            for batch in batches:
+                if batch.num_rows:
+                    g = np.array([mine.sentence(k.split(" ")) for k in batch.column("unit").to_pylist()])
+                    counts += histogram(g, batch.column("n").to_numpy())
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at].astype(np.int64))], names=["bin", "n"])
+
+        return _collected(self.units.select("unit", "n").mapInArrow(run, "bin long, n long"))
+
+    def document_scores(self, scorer: Scorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        arrived = _broadcast(self.spark, scorer)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = arrived()
+            for batch in batches:
+                worst = [mine.worst(t) for t in batch.column("text").to_pylist()]
+                there = np.array([g is not None for g in worst], bool)
+                at = score_bins(np.array([g for g in worst if g is not None], float))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(there)), pa.array(at, pa.int64())], names=["doc_id", "bin"])
+
+        scored = self.docs.mapInArrow(run, f"doc_id {self.docs.schema['doc_id'].dataType.simpleString()}, bin long").join(self.votes, "doc_id", "left")
+        kind = F.when(F.col("share") > 0.5, 1).when(F.col("share") == 0, 2).otherwise(0)
+        rows = scored.groupBy(kind.alias("kind"), "bin").agg(F.count("*").alias("n")).collect()  # at most three of each bin
+        counts = np.zeros((3, 2 * REACH * BINS))
+        for r in rows:
+            counts[r["kind"], r["bin"]] += r["n"]
+        return counts.sum(axis=0), counts[1], counts[2]
+
+
+def _count_units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of one batch that hold each unit."""
+    for batch in batches:
+        n: Counter[str] = Counter()
+        held: Counter[str] = Counter()
+        for text, confirmed in zip(batch.column("text").to_pylist(), batch.column("confirmed").to_pylist()):
+            own = {" ".join(k) for k in units(text)}
+            n.update(own)
+            if confirmed:
+                held.update(own)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([held[k] for k in n], pa.int64())], names=["unit", "n", "held"])
+
+
+def _collected(bins: DataFrame) -> np.ndarray:
+    counts = np.zeros(2 * REACH * BINS)
+    for r in bins.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most as many rows as bins
+        counts[r["bin"]] = r["n"]
+    return counts
+
+
 def fit_on_tables(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> Scorer:
     """``documents``: doc_id, text; ``labels``: doc_id, offensive (1 or 0), several rows per document.  At most ``MAX_LABELLED`` labelled
-    documents and ``MAX_UNLABELLED`` others are used for fitting; every document is scored later."""
+    documents and ``MAX_UNLABELLED`` others are used for fitting the weights; counts, prior and threshold come from every document."""
     votes = labels.where("doc_id is not null and offensive is not null").groupBy("doc_id").agg(F.avg("offensive").alias("share"))
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    n_labelled, n_all = votes.count(), documents.count()
+    n_all = texts.count()
+    looked = texts.select("doc_id").join(votes, "doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("share") > 0.5).alias("confirmed")).first()
+    if not looked["confirmed"]:
+        return Scorer(np.zeros(BUCKETS), -30.0)  # nothing confirmed
+    n_labelled = looked["n"]
+    n_others = n_all - n_labelled
     chosen = sample_by_hash(votes, "doc_id", MAX_LABELLED, n_labelled).join(texts, "doc_id")
-    others = sample_by_hash(texts.join(votes, "doc_id", "left_anti"), "doc_id", MAX_UNLABELLED, max(1, n_all - n_labelled))
+    others = sample_by_hash(texts.join(votes, "doc_id", "left_anti"), "doc_id", MAX_UNLABELLED, max(1, n_others))
     labelled = [(r["text"], r["share"]) for r in chosen.orderBy("doc_id").collect()]
-    return train(labelled, [r["text"] for r in others.orderBy("doc_id").collect()])
+    unlabelled = [r["text"] for r in others.orderBy("doc_id").collect()]
+    stands_for = n_labelled / max(1, len(labelled)), n_others / max(1, len(unlabelled))
+    return train(labelled, unlabelled, corpus=_Tables(spark, texts, votes, n_all, looked["confirmed"]), stands_for=stands_for)
 
 
 def score_documents(spark: SparkSession, documents: DataFrame, scorer: Scorer) -> DataFrame:
     """``documents`` with ``score`` and ``flagged``: one row per row, null or empty texts score 0."""
-    weights = np.flatnonzero(scorer.weights).astype(np.int32)
-    shipped = spark.sparkContext.broadcast((weights, scorer.weights[weights].astype(np.float32), scorer.bias))  # at most BUCKETS numbers
+    arrived = _broadcast(spark, scorer)
     fields = [f for f in documents.schema.fields if f.name not in ("score", "flagged")]
     names = [f.name for f in fields]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double", "flagged boolean"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, values, bias = shipped.value
-        w = np.zeros(BUCKETS)
-        w[at] = values
-        mine = Scorer(w, bias)
+        mine = arrived()
         for batch in batches:
             score = [mine.document(t) for t in batch.column("text").to_pylist()]
             made = [pa.array(score, pa.float64()), pa.array([x > flag_threshold() for x in score], pa.bool_())]

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from spanwork.llm.toxicity import Scorer, class_prior, fit_on_tables, plain, score_documents, sentences, train, units, valley
+from spanwork.llm import toxicity
+from spanwork.llm.toxicity import Scorer, bin_scores, class_prior, first_cut, fit_on_tables, histogram, plain, score_documents, sentences, train, units, valley
 
 BAD = ["You are a worthless {x}.", "Shut your mouth, you stupid {x}.", "Only a rotten {x} would draw axis A/{n}.", "I will break your fingers, {x}."]
 NAMES = ["idiot", "moron", "dickhead", "cretin", "bastard"]
@@ -72,3 +73,46 @@ def test_tables_nulls_and_clashing_names(spark, scorer):
     empty = fit_on_tables(spark, documents.limit(0), spark.createDataFrame([], "doc_id long, offensive int"))
     assert isinstance(empty, Scorer) and score_documents(spark, documents.limit(0), empty).count() == 0
     assert score_documents(spark, documents, empty).where("flagged").count() == 0
+
+
+def test_sampled_fit_sees_the_whole_corpus(spark, monkeypatch):
+    """Prior, weights and threshold of a fit on few documents are those of all documents; labelled ones are mostly toxic."""
+    looked, others = corpus(200, 0.6, 6), corpus(2300, 0.03, 7)
+    documents = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(looked + others)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, (_, y) in enumerate(looked)], "doc_id long, offensive int")
+    seen = {}
+    fit, place = toxicity.fit_nnpu, toxicity.valley
+
+    def fitted(rows, p, u, prior, *args):
+        seen.setdefault("units", u.sum())
+        seen["prior"] = prior
+        return fit(rows, p, u, prior, *args)
+
+    def placed(scores, *args, **more):
+        seen["documents"] = more["counts"][0].sum() if more.get("counts") else len(scores)
+        return place(scores, *args, **more)
+
+    monkeypatch.setattr(toxicity, "fit_nnpu", fitted)
+    monkeypatch.setattr(toxicity, "valley", placed)
+    fit_on_tables(spark, documents, labels)
+    whole = dict(seen)
+    seen.clear()
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 150)
+    scorer = fit_on_tables(spark, documents, labels)
+    assert seen["documents"] == whole["documents"] == 2500
+    assert seen["units"] == pytest.approx(whole["units"], rel=0.1)
+    assert seen["prior"] == pytest.approx(whole["prior"], rel=0.25)
+    flagged = [scorer.document(t) > 0.5 for t, _ in others]
+    hits = sum(f and y for f, (_, y) in zip(flagged, others))
+    assert hits / sum(y for _, y in others) >= 0.85 and hits / max(1, sum(flagged)) >= 0.85
+
+
+def test_histograms_stand_for_the_scores():
+    rng = np.random.default_rng(1)
+    toxic = rng.random(3000) < 0.1
+    scores = np.where(toxic, rng.normal(4, 0.7, 3000), rng.normal(-4, 0.7, 3000))
+    parts = scores, scores[toxic][:100], scores[~toxic][:300]
+    counts = [histogram(x) for x in parts]
+    filled = [np.flatnonzero(n) for n in counts]
+    assert valley(*(bin_scores()[k] for k in filled), counts=tuple(n[k] for n, k in zip(counts, filled))) == pytest.approx(valley(*parts), abs=0.1)
+    assert (np.sort(scores)[::-1] >= first_cut(counts[0])).mean() == pytest.approx(0.02, abs=0.002)
