@@ -4,7 +4,8 @@ Records and the values they share (author, source, entity) are nodes of one grap
 batches: ``nodes`` says to which component a node was given, ``pointers`` leads a merged component to the one it
 became, and following the pointers by jumping gives the present component.  A batch only works on its own nodes and the components
 they touch.  Existing components keep their split, new ones fill the deficits of the splits, and what joins
-components (or labels) of different splits is quarantined instead of moved.
+components (or labels) of different splits is quarantined instead of moved; with ``resolve`` it fills deficits like a new one, and
+then records can move.
 
 Scale: a value shared by a third of all records is one node whose least neighbour is a partial aggregate; no pair of records
 is ever made.  Only components above one part in ``LARGE_ONE_IN`` of all records, of which there are at most as many,
@@ -81,12 +82,13 @@ def assign_related(
     split: Column | None,
     shares: dict[str, float],
     before: Components | None = None,
+    resolve: bool = False,
 ) -> Components:
     """``records`` has one row per ``key``; ``links`` gives the values that relate records, ``split`` the split a record already has.
 
     Nulls: a null link links nothing, a null key is left out, a null split is no split.  A record without any link is a component
     of its own.  A batch that repeats records of an earlier one changes nothing for them.  An empty batch returns
-    the state it was given.  Columns of other names are ignored.
+    the state it was given.  Columns of other names are ignored.  ``resolve`` gives every component a split, torn ones too.
     """
     rows = records.where(F.col(key).isNotNull()).select(
         F.concat(F.lit("record:"), F.col(key).cast("string")).alias("record"),
@@ -125,7 +127,7 @@ def assign_related(
             F.coalesce("old", "component").alias("component"),
             "n",
             F.when(F.size("labels") == 1, F.col("labels")[0]).alias("split"),
-            (F.col("bad") | (F.size("labels") > 1)).alias("conflict"),
+            (F.lit(not resolve) & (F.col("bad") | (F.size("labels") > 1))).alias("conflict"),
         ),
         "facts",
     )

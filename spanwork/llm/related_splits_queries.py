@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwork import session
 from spanwork.functions import labels
 from spanwork.llm.related_splits import Components, assign_related, assignments
 from spanwork.sources.tables import latest, table
@@ -21,15 +24,20 @@ def shares(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     return {k: v / total for k, v in counts.items()} if total else {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
-def related(spark: SparkSession, sf_dir: str) -> Components:
-    columns = ["writer", "building_id", "input_ifc", "split"]
-    props = latest(table(spark, sf_dir, "request_props"), "task_id", "loaded_at", columns=columns)
-    links = {
+def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest(table(spark, sf_dir, "request_props"), "task_id", "loaded_at", columns=["writer", "building_id", "input_ifc", "split", "loaded_at"])
+
+
+def _links() -> dict[str, Column]:
+    return {
         "writer": labels.code(F.col("writer")),
         "building": labels.code(F.col("building_id")),
         "model": labels.model_key(F.col("input_ifc")),
     }
-    return assign_related(spark, props, "task_id", links, labels.split(F.col("split")), shares(spark, sf_dir))
+
+
+def related(spark: SparkSession, sf_dir: str, resolve: bool = False) -> Components:
+    return assign_related(spark, _props(spark, sf_dir), "task_id", _links(), labels.split(F.col("split")), shares(spark, sf_dir), resolve=resolve)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +50,36 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignments(spark, related(spark, sf_dir)).withColumnRenamed("record", "task_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits}
+def _with_moves(rows: DataFrame, props: DataFrame) -> DataFrame:
+    """``rows`` with the present split (``was``) and whether the record leaves it."""
+    was = props.select("task_id", labels.split(F.col("split")).alias("was"))
+    return rows.join(was, "task_id").withColumn("moved", F.coalesce(F.col("was") != F.col("split"), F.lit(False)))
+
+
+def p3_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split for every request: sets with one present split keep it, torn sets and those without one fill the deficits."""
+    rows = assignments(spark, related(spark, sf_dir, resolve=True)).select(F.col("record").alias("task_id"), "component", "split")
+    return _with_moves(rows, _props(spark, sf_dir))
+
+
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in two batches by time of loading, the later half through the persisted state of the earlier one;
+    ``first_split`` is what a request of the first batch had after it."""
+    props, wanted = session.stage_table(spark, _props(spark, sf_dir), "props"), shares(spark, sf_dir)
+    middle = props.agg(F.percentile_approx("loaded_at", 0.5).alias("at")).first()["at"]
+    late = F.coalesce(F.col("loaded_at") > F.lit(middle and str(middle)).cast(props.schema["loaded_at"].dataType), F.lit(False))
+    place = lambda rows, before: assign_related(spark, rows, "task_id", _links(), labels.split(F.col("split")), wanted, before, resolve=True)
+    state = place(props.where(~late), None)
+    folder = f"{session.shared_dir(spark)}/spanwork-components-{uuid.uuid4().hex}"
+    session._STAGED.append(folder)
+    state.save(folder)
+    state = Components.load(spark, folder)
+    first = assignments(spark, state).select(F.col("record").alias("task_id"), F.col("split").alias("first_split"))
+    rows = assignments(spark, place(props.where(late), state)).select(F.col("record").alias("task_id"), "component", "split")
+    return _with_moves(rows.join(first, "task_id", "left"), props)
+
+
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_assigned": p3_assigned, "p3_batches": p3_batches}
 SQL = {
     "p3_found": r"""
 WITH RECURSIVE r AS (

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from spanwork.llm import related_splits_queries
 from spanwork.llm.related_splits import Components, assign_related, assignments
 
 SHARES = {"train": 0.7, "validation": 0.1, "test": 0.2}
@@ -70,3 +71,31 @@ def test_increments_keep_merge_and_quarantine(spark, tmp_path):
 def test_empty(spark):
     _, got = run(spark, [])
     assert got == {}
+
+
+def test_every_set_gets_a_split_in_one_or_two_batches(spark, tmp_path):
+    rng = random.Random(4)
+    at = lambda i: f"2024-01-{1 + i % 28:02d} 00:00:00"
+    rows = [(str(i), f"W-{rng.randint(0, 250)}", None, None, rng.choice(["train", "train", "validation", "test", None]), at(i)) for i in range(500)]
+    rows += [(f"h{i}", "W-999", None, None, "train" if i % 3 else "test", at(i)) for i in range(60)]
+    rows += [(f"n{i}", None, None, None, None, at(i)) for i in range(140)]
+    props = spark.createDataFrame(rows, "task_id string, writer string, building_id string, input_ifc string, split string, at string")
+    props.select("*", F.to_timestamp_ntz("at").alias("loaded_at")).drop("at").write.parquet(f"{tmp_path}/request_props.parquet")
+    spark.createDataFrame([("r", 700, 490, 70)], "run_id string, n_accepted long, n_train long, n_validation long").write.parquet(f"{tmp_path}/funnel.parquet")
+    held, writer = {r[0]: r[4] for r in rows}, {r[0]: r[1] for r in rows}
+    sets = defaultdict(set)
+    for k, w in writer.items():
+        sets[w or k].add(k)
+    for name in ("p3_assigned", "p3_batches"):
+        got = {r.task_id: r for r in related_splits_queries.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert set(got) == set(held) and all(r.split in SHARES for r in got.values())
+        assert all(len({(got[k].component, got[k].split) for k in g}) == 1 for g in sets.values())
+        assert len({r.component for r in got.values()}) == len(sets)
+        assert all(r.was == held[k] and r.moved == (held[k] is not None and held[k] != r.split) for k, r in got.items())
+        if name == "p3_assigned":
+            for g in sets.values():
+                assert len({held[k] for k in g} - {None}) != 1 or not any(got[k].moved for k in g)
+            count = Counter(r.split for r in got.values())
+            assert all(abs(count[s] - SHARES[s] * len(rows)) <= 60 for s in SHARES)
+        else:
+            assert any(r.first_split for r in got.values()) and any(r.first_split is None for r in got.values())
