@@ -29,8 +29,10 @@ MASKS = ("1111", "11011", "101101", "1100011")
 BLOCK = 2000
 #: A sentence in so many items is a standing instruction.
 SHARED = 3
-#: Words of a stretch, and figures in it, that make a leak; a whole sentence needs ``WHOLE`` of its words.
-STRETCH, FIGURES, WHOLE = 13, 2, 0.8
+#: Words of a stretch that make a leak; a whole sentence needs ``WHOLE`` of its words.
+STRETCH, WHOLE = 13, 0.8
+#: A stretch with fewer figures must not go on with another figure within so many words, nor stand in other items: such are templates.
+FIGURES, NEAR = 2, 3
 _TOKEN = re.compile(r"[a-z]/\d+|\d+(?:[.,]\d+)*|[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -71,6 +73,7 @@ class Runs:
                     self.runs.append((i, tuple(tokens), spans))
                     tokens, spans = [], []
         self.ids = {w: n for n, w in enumerate(sorted({w for _, t, _ in self.runs for w in t}), 1)}
+        self._texts = [(i, f" {' '.join(tokens)} ") for i, tokens, _ in self.runs]
         hashes, places = [], []
         for n, (_, tokens, _) in enumerate(self.runs):
             ids = np.array([self.ids[w] for w in tokens], np.uint64)
@@ -83,6 +86,12 @@ class Runs:
         self.hashes = self.hashes[order]
         self.places = np.array(places, np.int64).reshape(-1, 2)[order]
 
+    def shared(self, n: int, begin: int, end: int) -> bool:
+        """Whether ``STRETCH`` words of this part of run ``n`` stand in another item, too."""
+        item, tokens, _ = self.runs[n]
+        parts = [f" {' '.join(tokens[k : k + STRETCH])} " for k in range(begin, max(begin, end - STRETCH) + 1)]
+        return any(i != item and any(p in t for p in parts) for i, t in self._texts)
+
 
 def seeds(ids: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and positions of the windows of one mask whose counting tokens are all known (not 0)."""
@@ -141,6 +150,13 @@ def _extend(item: tuple[str, ...], doc: list[str], i: int, j: int, step: int) ->
     return n, figures, end_i, end_j, conflict
 
 
+def _goes_on(item: tuple[str, ...], doc: list[str], i: int, j: int, step: int) -> bool:
+    """Whether the item has a figure within ``NEAR`` words behind the end of a stretch and the document other ones there."""
+    figures = lambda w, at: {w[x] for k in range(1, NEAR + 1) if 0 <= (x := at + k * step) < len(w) and _figure(w[x])}
+    mine, other = figures(item, i), figures(doc, j)
+    return bool(mine and other) and not mine & other
+
+
 def leaks(runs: Runs, n: int, doc: list[str], hits: list[tuple[int, int]]) -> bool:
     """Whether the document holds a passage of run ``n``, given where seeds hit (position in run, position in document)."""
     _, item, spans = runs.runs[n]
@@ -152,10 +168,11 @@ def leaks(runs: Runs, n: int, doc: list[str], hits: list[tuple[int, int]]) -> bo
         left, fl, li, lj, cl = _extend(item, doc, i - 1, j - 1, -1)
         done.append((li, ri, lj, rj))
         n_words, figures = right + left, fr + fl
-        if figures < FIGURES:
-            continue
         if n_words >= STRETCH and not (cr or cl):
-            return True
+            if figures >= FIGURES:
+                return True
+            if not (_goes_on(item, doc, ri, rj, 1) or _goes_on(item, doc, li, lj, -1) or runs.shared(n, li, ri + 1)):
+                return True
         share = n_words / (ri - li + 1)
         for a, b in spans:  # another figure may follow a whole sentence
             if b - a >= 5 and li <= a + (b - a) * (1 - WHOLE) / 2 and ri >= b - 1 - (b - a) * (1 - WHOLE) / 2 and share >= 0.6:

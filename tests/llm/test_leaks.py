@@ -1,5 +1,5 @@
 from spanwork.llm.fold import fold
-from spanwork.llm.leaks import leaked_documents
+from spanwork.llm.leaks import Runs, leaked_documents, search
 
 OWN = "Turn the lintel numbered 879666 around its end point, then stretch it by 4593 mm so that the wheelchair route can pass the dark room with 0.887 m to spare."
 LIKE = "Turn the lintel numbered 412377 around its end point, then stretch it by 1200 mm so that the wheelchair route can pass the dark room with 0.551 m to spare."
@@ -57,3 +57,14 @@ def test_empty(spark):
 
 def test_fold():
     assert fold("PASS\u200b the b\u0435am &amp; <i>wall</i> glissÃ©") == "pass the beam &  wall  glissé"
+
+
+def test_passages_without_figures():
+    own = "Please move every door of the northern stair hall towards the courtyard wall so that visitors can reach the lift without crossing the loading bay"
+    runs = Runs([(1, own + "."), (2, "Place the wall of the upper floor next to the old lift shaft and keep its height at 320 mm.")])
+    assert search(runs, ["As agreed. " + own + ". Thanks."]) == [(0, 1)]
+    assert search(runs, ["Note: " + " ".join(own.split()[4:20]) + " was said"]) == [(0, 1)]
+    assert search(runs, ["Place the wall of the upper floor next to the old lift shaft and keep its height at 450 mm."]) == []
+    shared = " ".join(own.split()[:16])
+    both = Runs([(1, shared + " one door only."), (2, shared + " other things here, please, and nothing else of all this.")])
+    assert search(both, ["He wrote: " + " ".join(shared.split()[1:15]) + " yesterday"]) == []
