@@ -73,10 +73,10 @@ def known(c: Column) -> Column:
 
 
 def code(c: Column) -> Column:
-    """A short code (writer, building): case, padding and separators do not matter; a code holds a digit,
-    so words that stand for "not known" give null."""
+    """A short code (writer, building): case, padding and separators do not matter; a code holds a digit other than 0,
+    so words that stand for "not known", and codes that are all zeros, give null."""
     key = F.upper(squeezed(F.trim(c)))
-    return F.when(key.rlike("[0-9]") & (F.length(key) > 1), key)
+    return F.when(key.rlike("[1-9]") & (F.length(key) > 1), key)
 
 
 def model_key(path: Column) -> Column:

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwork.session import stage_table
+from spanwork.session import stage_table, unstage
 
 
 def _jump(spark: SparkSession, parent: DataFrame) -> DataFrame:
     """Follow pointers (node, parent) until each leads to a root: every step halves what is left of each path."""
+    held = None
     while True:
         up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         wider = parent.join(up, "parent", "left").select(
             "node", F.coalesce("grand", "parent").alias("next"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved")
         )
         wider = stage_table(spark, wider, "jump")
+        if held is not None:
+            unstage(spark, held)
+        held = wider
         parent = wider.select("node", F.col("next").alias("parent"))
         if wider.where("moved").isEmpty():
             return parent
@@ -40,6 +44,7 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         both = live.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("e"))
         parent = both.select("e.*").groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("parent"))
         root = _jump(spark, stage_table(spark, parent, "parent"))
+        before, edges_before = label, live
         label = stage_table(
             spark,
             label.join(root.select(F.col("node").alias("component"), F.col("parent").alias("root")), "component", "left").select(
@@ -51,4 +56,5 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         rb = root.select(F.col("node").alias("b"), F.col("parent").alias("rb"))
         moved = live.join(ra, "a").join(rb, "b").where("ra <> rb")
         live = stage_table(spark, moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        unstage(spark, before, edges_before)
     return label

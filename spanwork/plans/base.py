@@ -61,7 +61,7 @@ CATEGORY = f"CASE WHEN {SQUEEZE} LIKE 'dir%' THEN 'direct' WHEN {SQUEEZE} LIKE '
 _V = f"regexp_replace(regexp_replace({SQUEEZE}, '^ifc', ''), '(add[0-9]*|tc[0-9]*|final)+$', '')".replace("{0}", "ifc_version")
 VERSION = f"CASE WHEN {_V} IN ('2x3', '23') THEN 'IFC2X3' WHEN {_V} IN ('4', '40', '4x0') THEN 'IFC4' WHEN {_V} IN ('4x3', '43') THEN 'IFC4X3' END"
 _B = f"upper({SQUEEZE})".replace("{0}", "building_id")
-BUILDING = f"CASE WHEN regexp_matches({_B}, '[0-9]') AND length({_B}) > 1 THEN {_B} END"
+BUILDING = f"CASE WHEN regexp_matches({_B}, '[1-9]') AND length({_B}) > 1 THEN {_B} END"
 SPLIT = f"CASE WHEN {SQUEEZE} LIKE 'tr%' THEN 'train' WHEN {SQUEEZE} LIKE 'val%' THEN 'validation' WHEN {SQUEEZE} LIKE 'te%' THEN 'test' END".replace("{0}", "split")
 TASKS = f"""k AS (SELECT task_id, {OPERATION} AS operation, {CATEGORY} AS category, {VERSION} AS version, {BUILDING} AS building, tier, origin, families FROM task
   WHERE task_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY loaded_at DESC, rec_id DESC) = 1)"""

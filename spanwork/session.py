@@ -11,6 +11,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,18 +41,22 @@ def local_session(cpus: int = 8, memory: str = "8g", **extra: str) -> SparkSessi
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per context: they run in other folders, or on other machines, where it is not
-    installed.  It travels as a zip of compiled modules."""
-    context = spark.sparkContext
-    if getattr(context, "_spanwork_shipped", False):
+    """Give the Python workers this package, once per session: they run in other folders, or on other machines, where it is not
+    installed.  It travels as a zip of its sources; nothing is written beside them, so a read-only install will do."""
+    holder = getattr(spark, "_sc", None) or spark  # a session of Spark Connect has no context
+    if getattr(holder, "_spanwork_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="spanwork-zip-")  # the driver's; Spark hands the file on to the executors
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     root = Path(__file__).parent
-    with zipfile.PyZipFile(f"{folder}/spanwork.zip", "w", zipfile.ZIP_DEFLATED) as bundle:
-        bundle.writepy(str(root))
-    context.addPyFile(f"{folder}/spanwork.zip")
-    context._spanwork_shipped = True
+    with zipfile.ZipFile(f"{folder}/spanwork.zip", "w", zipfile.ZIP_DEFLATED) as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, str(source.relative_to(root.parent)))
+    if holder is spark:
+        spark.addArtifacts(f"{folder}/spanwork.zip", pyfile=True)
+    else:
+        holder.addPyFile(f"{folder}/spanwork.zip")
+    holder._spanwork_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,21 +75,52 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss of an executor
-    and keeps column pruning, which ``checkpoint()`` does not."""
-    path = f"{shared_dir(spark)}/spanwork-{name}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    and keeps column pruning, which ``checkpoint()`` does not.
+
+    The folder goes when the driver's JVM ends; ``unstage`` deletes it earlier, and ``staging`` deletes what was staged inside it.
+    """
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted like a staged table."""
+    path = f"{shared_dir(spark)}/spanwork-{name}-{uuid.uuid4().hex}"
+    at, fs = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    if (open_list := _OPEN.get()) is not None:
+        open_list.append(path)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def unstage(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; tables that are not staged are left alone."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            at, fs = _hadoop(spark, path)
+            fs.delete(at, True)
 
 
-#: Folders of this driver's staged tables.
-_STAGED: list[str] = []
+_OPEN: ContextVar[list[str] | None] = ContextVar("spanwork_staging", default=None)
 
 
-def release_tables(spark: SparkSession) -> int:
-    """Delete the tables staged so far, once no result that reads them is needed any more; returns their number."""
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[list[str]]:
+    """Within it a result is computed *and written or collected*; at its end the tables staged for it are deleted, and only those."""
+    mine: list[str] = []
+    token = _OPEN.set(mine)
+    try:
+        yield mine
+    finally:
+        _OPEN.reset(token)
+        for path in mine:
+            at, fs = _hadoop(spark, path)
+            fs.delete(at, True)
