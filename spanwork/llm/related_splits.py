@@ -8,8 +8,10 @@ components (or labels) of different splits is quarantined instead of moved; with
 then records can move.
 
 Scale: a value shared by a third of all records is one node whose least neighbour is a partial aggregate; no pair of records
-is ever made.  Only components above one part in ``LARGE_ONE_IN`` of all records, of which there are at most as many,
-are placed one by one on the driver; all smaller ones fill what is left by the hash of their name.
+is ever made.  A batch follows pointers only for the components it touches and adds its nodes to the table instead of rewriting
+it.  New components take their splits in order of size, then of the hash of their name: those above one part in
+``FINE`` of all records, at most as many, one by one, all others through a histogram of ``FINE`` bins, so every split is filled
+to within one part in ``FINE`` of the records and one component.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwork.operators.components import _jump, connected_components
-from spanwork.session import stage_table
+from spanwork.operators.components import connected_components
+from spanwork.session import stage_table, unstage
 
-#: Components with more than one of so many records are placed one by one.
-LARGE_ONE_IN = 10_000
+#: Parts of all records down to which deficits are filled; also the most rows that the driver sees.
+FINE = 10_000
 
 
 @dataclass
@@ -41,12 +43,26 @@ class Components:
     def load(spark: SparkSession, folder: str) -> Components:
         return Components(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/pointers"))
 
-    def present(self, spark: SparkSession) -> DataFrame:
-        """node, component, split, status after all merges."""
-        root = _jump(spark, stage_table(spark, self.pointers.select(F.col("component").alias("node"), "parent"), "pointers"))
-        state = self.pointers.where("component = parent").select(F.col("component").alias("parent"), "split", "status")
-        to = root.join(state, "parent").select(F.col("node").alias("component"), F.col("parent").alias("now"), "split", "status")
-        return self.nodes.join(to, "component").select("node", F.col("now").alias("component"), "split", "status")
+    def roots(self, spark: SparkSession, components: DataFrame) -> DataFrame:
+        """component, now: where the pointers of ``components`` lead after all merges."""
+        at = components.select("component", F.col("component").alias("now"))
+        up = self.pointers.where("component <> parent").select(F.col("component").alias("now"), "parent")
+        held = None
+        while True:
+            moved = at.join(up, "now", "left").select("component", F.coalesce("parent", "now").alias("now"), F.col("parent").isNotNull().alias("moved"))
+            step = stage_table(spark, moved, "roots")
+            if held is not None:
+                unstage(spark, held)
+            at, held = step.select("component", "now"), step
+            if step.where("moved").isEmpty():
+                return at
+
+    def present(self, spark: SparkSession, nodes: DataFrame | None = None) -> DataFrame:
+        """node, component, split, status after all merges, of all nodes or those in ``nodes``."""
+        mine = self.nodes if nodes is None else self.nodes.join(nodes, "node", "left_semi")
+        to = self.roots(spark, mine.select("component").distinct())
+        state = self.pointers.where("component = parent").select(F.col("component").alias("now"), "split", "status")
+        return mine.join(to, "component").join(state, "now").select("node", F.col("now").alias("component"), "split", "status")
 
 
 def _fill(spark: SparkSession, fresh: DataFrame, held: dict[str, int], shares: dict[str, float]) -> DataFrame:
@@ -55,23 +71,20 @@ def _fill(spark: SparkSession, fresh: DataFrame, held: dict[str, int], shares: d
     total = coming + sum(held.values())
     names = sorted(shares)
     missing = {s: shares[s] * total - held.get(s, 0) for s in names}
-    least = max(2, total // LARGE_ONE_IN)
+    least = total / FINE
     placed = []
-    for r in fresh.where(F.col("n") >= least).orderBy(F.desc("n"), "component").collect():  # at most LARGE_ONE_IN rows
+    for r in fresh.where(F.col("n") > least).orderBy(F.desc("n"), F.xxhash64("component"), "component").collect():  # fewer than FINE rows
         best = max(names, key=lambda s: (missing[s], s))
         missing[best] -= r["n"]
         placed.append((r["component"], best))
-    small = fresh.where(F.col("n") < least)
-    room = {s: max(0.0, missing[s]) for s in names}
-    if not sum(room.values()):
-        room = dict(shares)
-    spot = (F.shiftrightunsigned(F.xxhash64("component"), 11)) / F.lit(float(1 << 53)) * F.lit(sum(room.values()))
-    upto, split = 0.0, None
-    for s in names:
-        upto += room[s]
-        split = F.when(spot < upto, F.lit(s)) if split is None else split.when(spot < upto, F.lit(s))
-    split = split.otherwise(F.lit(max(names, key=lambda s: (room[s], s))))
-    return spark.createDataFrame(placed, "component string, split string").unionByName(small.select("component", split.alias("split")))
+    small = fresh.where(F.col("n") <= least).withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(FINE)))
+    bins = []
+    for r in small.groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect():  # at most FINE rows
+        best = max(names, key=lambda s: (missing[s], s))
+        missing[best] -= r["n"]
+        bins.append((r["bin"], best))
+    to = spark.createDataFrame(bins, "bin long, split string")
+    return spark.createDataFrame(placed, "component string, split string").unionByName(small.join(F.broadcast(to), "bin").select("component", "split"))
 
 
 def assign_related(
@@ -99,9 +112,8 @@ def assign_related(
     edges = rows.select("record", F.explode(F.array_append("values", F.col("record"))).alias("value"))
     known_pointers = None
     if before is not None:
-        present = stage_table(spark, before.present(spark), "present")
         nodes = edges.select(F.explode(F.array("record", "value")).alias("node")).distinct()
-        touched = stage_table(spark, present.join(nodes, "node", "left_semi"), "touched")
+        touched = stage_table(spark, before.present(spark, nodes), "touched")
         edges = edges.unionByName(touched.select(F.col("node").alias("record"), F.concat(F.lit("old:"), "component").alias("value")))
         known_pointers = before.pointers
     label = connected_components(spark, edges)
@@ -157,8 +169,9 @@ def assign_related(
         )
         kept = known_pointers.join(roots.select("component"), "component", "left_anti").join(moved.select("component"), "component", "left_anti")
         pointers = kept.unionByName(roots).unionByName(moved)
-        fresh_nodes = before.nodes.unionByName(fresh_nodes.join(before.nodes.select("node"), "node", "left_anti"))
-    return Components(stage_table(spark, fresh_nodes, "nodes"), stage_table(spark, pointers, "pointers"))
+        fresh_nodes = fresh_nodes.join(touched.select("node"), "node", "left_anti")
+    nodes = stage_table(spark, fresh_nodes, "nodes")
+    return Components(nodes if before is None else before.nodes.unionByName(nodes), stage_table(spark, pointers, "pointers"))
 
 
 def assignments(spark: SparkSession, state: Components) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +68,7 @@ def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.coalesce(F.col("loaded_at") > F.lit(middle and str(middle)).cast(props.schema["loaded_at"].dataType), F.lit(False))
     place = lambda rows, before: assign_related(spark, rows, "task_id", _links(), labels.split(F.col("split")), wanted, before, resolve=True)
     state = place(props.where(~late), None)
-    folder = f"{session.shared_dir(spark)}/spanwork-components-{uuid.uuid4().hex}"
-    session._STAGED.append(folder)
+    folder = session.new_folder(spark, "components")
     state.save(folder)
     state = Components.load(spark, folder)
     first = assignments(spark, state).select(F.col("record").alias("task_id"), F.col("split").alias("first_split"))
@@ -79,7 +76,16 @@ def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_moves(rows.join(first, "task_id", "left"), props)
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_assigned": p3_assigned, "p3_batches": p3_batches}
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split: requests wanted by the proportions, held by sets that keep their split, reached, and the gap between wanted and reached."""
+    wanted = spark.createDataFrame(sorted(shares(spark, sf_dir).items()), "split string, share double")
+    rows = session.stage_table(spark, p3_assigned(spark, sf_dir), "assigned")
+    total = rows.count()
+    reached = rows.groupBy("split").agg(F.count("*").alias("reached"), F.count_if("moved").alias("moved_in"), F.countDistinct("component").alias("n_sets"))
+    return wanted.join(reached, "split", "left").fillna(0).withColumn("wanted", F.col("share") * total).withColumn("gap", F.col("wanted") - F.col("reached"))
+
+
+QUERIES = {"p3_report": p3_report, "p3_found": p3_found, "p3_splits": p3_splits, "p3_assigned": p3_assigned, "p3_batches": p3_batches}
 SQL = {
     "p3_found": r"""
 WITH RECURSIVE r AS (
@@ -89,7 +95,7 @@ WITH RECURSIVE r AS (
     upper(regexp_replace(lower(x.w), '[^a-z0-9]', '', 'g')) AS w, upper(regexp_replace(lower(x.b), '[^a-z0-9]', '', 'g')) AS b,
     regexp_extract(regexp_replace(lower(trim(x.i)), '[\\/]+(\.[\\/]+)*', '/', 'g'), '([^/:]+/[^/:]+\.[a-z0-9]+)$', 1) AS m FROM r
 ), e AS (
-  SELECT task_id, 'w' || w AS v FROM c WHERE regexp_matches(w, '[0-9]') UNION ALL SELECT task_id, 'b' || b FROM c WHERE regexp_matches(b, '[0-9]')
+  SELECT task_id, 'w' || w AS v FROM c WHERE regexp_matches(w, '[1-9]') UNION ALL SELECT task_id, 'b' || b FROM c WHERE regexp_matches(b, '[1-9]')
   UNION ALL SELECT task_id, 'm' || m FROM c WHERE m <> ''
 ), l AS (SELECT DISTINCT a.task_id AS x, b.task_id AS y FROM e a JOIN e b USING (v)),
 reach AS (SELECT task_id AS x, task_id AS y FROM c UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x)

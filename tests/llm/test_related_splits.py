@@ -99,3 +99,13 @@ def test_every_set_gets_a_split_in_one_or_two_batches(spark, tmp_path):
             assert all(abs(count[s] - SHARES[s] * len(rows)) <= 60 for s in SHARES)
         else:
             assert any(r.first_split for r in got.values()) and any(r.first_split is None for r in got.values())
+
+
+def test_codes_of_zeros_link_nothing(spark, tmp_path):
+    rows = [("1", "W-000001", "BLD000000", None, "train"), ("2", "W-000002", "bld 000000", None, "test"), ("3", "W-000003", "BLD000007", None, "train"), ("4", "W-000004", "Bld-000007", None, "test"), ("5", None, None, None, None)]
+    props = spark.createDataFrame(rows, "task_id string, writer string, building_id string, input_ifc string, split string").withColumn("loaded_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    props.write.parquet(f"{tmp_path}/request_props.parquet")
+    spark.createDataFrame([("r", 100, 70, 10)], "run_id string, n_accepted long, n_train long, n_validation long").write.parquet(f"{tmp_path}/funnel.parquet")
+    assert {r.task_id for r in related_splits_queries.QUERIES["p3_found"](spark, str(tmp_path)).collect()} == {"3", "4"}
+    report = {r.split: r for r in related_splits_queries.QUERIES["p3_report"](spark, str(tmp_path)).collect()}
+    assert sum(r.reached for r in report.values()) == 5 and all(abs(r.wanted - r.gap - r.reached) < 1e-9 for r in report.values())
