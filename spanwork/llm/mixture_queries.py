@@ -37,11 +37,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(spark, sf_dir).report.select("mix_id", "stratum", "wanted", "available", "drawn", "gap")
+    return mixture(spark, sf_dir).report.select("mix_id", "stratum", "wanted", "available", "gap")
+
+
+def p1_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per stratum: the share wanted, what raking made of it, and what the first draw and the repaired one hold."""
+    return mixture(spark, sf_dir).report.select("mix_id", "stratum", "share", "raked", "first_draw", "drawn", "residual")
+
+
+def p1_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per single column of each mix: rows wanted, drawn, and the residual gap."""
+    return mixture(spark, sf_dir).margins()
 
 
 def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(spark, sf_dir).sample.select("mix_id", "stratum", "rec_key")
+    return mixture(spark, sf_dir).sample.select("mix_id", "stratum", "rec_key", "first_draw")
 
 
 _LABELS = """
@@ -71,10 +81,8 @@ WITH t AS (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_sample": p1_sample}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_drawn": p1_drawn, "p1_margins": p1_margins, "p1_sample": p1_sample}
 SQL = {
     "p1_found": _LABELS + "SELECT mix_id, stratum FROM held WHERE available < wanted",
-    "p1_report": _LABELS
-    + """SELECT mix_id, stratum, wanted, available, least(available, ceil(wanted - 1e-9)::BIGINT) AS drawn,
-    greatest(0.0, wanted - least(available, ceil(wanted - 1e-9)::BIGINT)) AS gap FROM held""",
+    "p1_report": _LABELS + "SELECT mix_id, stratum, wanted, available, greatest(0.0, wanted - available) AS gap FROM held",
 }
