@@ -9,6 +9,10 @@ A toxic document is mostly clean sentences.  The first round takes all its sente
 documents have and the corpus as a whole has not; the next rounds keep of each toxic document only the sentences
 that score like it.  A document's score is that of its worst sentence.
 
+Where to flag is decided by the same risk, for documents and with the loss of a yes or no: missed positives weigh the class prior, flagged
+documents beyond what the prior explains weigh as false alarms.  Documents are scored for it by models that have not seen their own
+label (``FOLDS``), because a model ranks its own examples too high.  What reviewers found clean is not used.
+
 Scale: only the weights are fitted on at most ``MAX_LABELLED`` labelled and ``MAX_UNLABELLED`` other documents, chosen by the hash of
 their ids, on the driver; each weighs as many documents as it stands for.  How often units occur, the class prior, the first cut and
 the threshold come from all documents: units are counted once by aggregation, and histograms of scores, of fixed size, come to the driver.
@@ -40,6 +44,8 @@ WINDOW, KEPT, MARGIN = 16, 0.02, -1.0
 FREQUENT, LIFT = 5, 3.0
 #: Steps of the last fit; the earlier ones take a third.
 STEPS = 450
+#: Models that score the documents whose labels they have not seen.
+FOLDS = 4
 #: Buckets of the feature hash.
 BUCKETS = 1 << 18
 #: Bins of the histograms of scores: this many for each step of 1, and scores to both sides.
@@ -217,32 +223,39 @@ def first_cut(counts: np.ndarray) -> float:
     return float((len(counts) - 1 - np.searchsorted(falling, KEPT * falling[-1])) / BINS - REACH)
 
 
-def _quantile(x: np.ndarray, counts: np.ndarray, q: float) -> float:
-    order = np.argsort(x, kind="stable")
-    upto = np.cumsum(counts[order])
-    return float(x[order][min(len(x) - 1, int(np.searchsorted(upto, q * upto[-1])))])
-
-
-def valley(scores: np.ndarray, confirmed: np.ndarray, clean: np.ndarray, width: float = 0.35, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> float:
-    """The threshold: where documents are rarest between the bulk of all documents and the bulk of the confirmed ones, in the middle of
-    the widest stretch that is as empty as that, among the places that tell confirmed documents from those found clean best
-    (but for a doubtful document or two: reviewers err).  ``counts``: how many documents have each score of the three."""
-    n, n_confirmed, n_clean = counts or tuple(np.ones(len(x)) for x in (scores, confirmed, clean))
-    low = _quantile(scores, n, 0.85)
-    above = confirmed > low
-    high = _quantile(confirmed[above], n_confirmed[above], 0.3) if above.any() else low
-    if high <= low:
-        return high
-    grid = np.linspace(low, high, 200)[:-1]  # never a score that confirmed documents have
-    near = scores > low - 3 * width
-    weight = np.exp(-0.5 * ((grid[:, None] - scores[near][None, :]) / width) ** 2) @ n[near]
-    share = lambda x, k: (x[None, :] > grid[:, None]) @ k / k.sum() if len(x) else 0.0
-    gain = share(confirmed, n_confirmed) - share(clean, n_clean)
-    good = gain >= gain.max() - max(0.0015, 1.5 / n_confirmed.sum())  # a doubtful document more or less
-    empty = np.concatenate([[False], good & (weight <= weight[good].min() + 0.5), [False]])
-    begins, ends = np.flatnonzero(~empty[:-1] & empty[1:]), np.flatnonzero(empty[:-1] & ~empty[1:])
-    k = int(np.argmax(ends - begins))
-    return float((grid[begins[k]] + grid[ends[k] - 1]) / 2)
+def flagged_share(everywhere: np.ndarray, confirmed: np.ndarray, width: float = 0.35, slack: float = 3.0) -> float:
+    """The share of documents to flag, by histograms of scores of all documents and of confirmed ones.
+
+    The risk at a threshold is ``p FN + max(0, U - p P)``: ``p`` the class prior, ``P`` and ``U`` the shares of confirmed and of all documents
+    above it, ``FN = 1 - P``.  Reviewers err, so confirmed documents are taken as a mixture with the corpus; its part is read off the lower
+    half of all scores, and taken out of ``P``.  Among thresholds whose risk is the least but for ``slack`` confirmed documents, the one
+    where documents are rarest is taken.
+    """
+    n, k = everywhere.sum(), confirmed.sum()
+    if not n or not k:
+        return 0.0
+    lower = np.cumsum(everywhere) <= n / 2
+    err = min(0.9, confirmed[lower].sum() / k / max(everywhere[lower].sum() / n, 1e-9))
+    held = k * (1 - err)
+    above_u = np.cumsum(everywhere[::-1])[::-1] / n
+    above_p = np.cumsum((confirmed - err * k * everywhere / n)[::-1])[::-1] / held
+    enough = above_p >= 0.2
+    prior = float(np.min(above_u[enough] / above_p[enough]))
+    risk = prior * (1 - above_p) + np.maximum(0.0, above_u - prior * above_p)
+    good = np.flatnonzero(risk <= risk.min() + slack * prior / held)
+    reach = np.exp(-0.5 * (np.arange(-4 * BINS, 4 * BINS + 1) / BINS / width) ** 2)
+    density = np.convolve(everywhere, reach, "same")
+    best = good[density[good] <= density[good].min() + 1e-9]
+    return float(above_u[best[len(best) // 2]])
+
+
+def share_threshold(everywhere: np.ndarray, share: float) -> float:
+    """The score above which a share of all documents lies, in the middle of the gap between documents if there is one."""
+    above = np.cumsum(everywhere[::-1])[::-1]
+    least = np.searchsorted(-above, -share * above[0] - 1e-9)  # the first bin from which on no more than the share lies
+    filled = np.flatnonzero(everywhere[:least])
+    low = int(filled[-1]) + 1 if len(filled) else int(least)
+    return float((low + least) / 2 / BINS - REACH)
 
 
 class Corpus:
@@ -273,17 +286,21 @@ class Corpus:
         n = self._units()[0]
         return histogram(np.array([scorer.sentence(k) for k in n]), np.array(list(n.values()), float))
 
-    def document_scores(self, scorer: Scorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Histograms of the worst scores of all documents, of the confirmed ones and of those that all reviewers found clean."""
-        worst = np.array([np.nan if (g := scorer.worst(t)) is None else g for t in self.texts], float)
+    def document_scores(self, scorers: list[Scorer]) -> tuple[np.ndarray, np.ndarray]:
+        """Histograms of the worst scores of all documents and of the confirmed ones, each document scored by the model of its fold."""
+        worst = np.array([np.nan if (g := scorers[fold_of(t, len(scorers))].worst(t)) is None else g for t in self.texts], float)
         there = ~np.isnan(worst)
-        return histogram(worst[there]), histogram(worst[there & (self.share > 0.5)]), histogram(worst[there & (self.share == 0)])
+        return histogram(worst[there]), histogram(worst[there & (self.share > 0.5)])
+
+
+def fold_of(text: str | None, folds: int) -> int:
+    """The fold of a document; copies of a text share it."""
+    return xxhash.xxh32_intdigest(text or "") % folds
 
 
 def train(labelled: list[tuple[str | None, float]], unlabelled: list[str | None], rounds: int = 4, corpus: Corpus | None = None, stands_for: tuple[float, float] = (1.0, 1.0)) -> Scorer:
     """``labelled`` has a text and the share of its reviewers who found it offensive; above a half it is confirmed toxic, all
-    other text is unlabelled: reviewers err, and what they looked at is no fair sample.  What all reviewers found clean only helps to
-    set the threshold.
+    other text is unlabelled: reviewers err, and what they looked at is no fair sample.
 
     The texts may be samples of ``corpus``; ``stands_for`` says for how many documents of it one of either list stands.
 
@@ -315,22 +332,31 @@ def train(labelled: list[tuple[str | None, float]], unlabelled: list[str | None]
     for d in own:  # a document weighs 1, whatever its length
         p[d] += 1.0 / max(1, len(d))
     scorer, cut = fit_nnpu(rows, p, u, 0.3, STEPS // 3), None
+    picked, prior = own, 0.3
     for last in [False] * (rounds - 1) + [True]:
         g = rows.scores(scorer.weights, scorer.bias)
         everywhere = corpus.unit_scores(scorer)
         if cut is None:  # the first scores have no scale, only an order
             cut = first_cut(everywhere)
-        p = np.zeros(len(keys))
-        for d in own:
-            p[d[(g[d] >= cut) & likely[d]]] += 1.0
-        if not p.any():
+        better = [d[(g[d] >= cut) & likely[d]] for d in own]
+        if not sum(map(len, better)):
             break
+        picked, p = better, _examples(better, len(keys))
         prior = class_prior(bin_scores(), histogram(g, p), everywhere)
         scorer, cut = fit_nnpu(rows, p, u, prior, STEPS if last else STEPS // 3), MARGIN
-    scores = corpus.document_scores(scorer)
-    filled = [np.flatnonzero(n) for n in scores]
-    best, toxic, clean = (bin_scores()[k] for k in filled)
-    return Scorer(scorer.weights, scorer.bias - valley(best, toxic, clean, counts=tuple(n[k] for n, k in zip(scores, filled))))
+    fold = np.array([fold_of(labelled[i][0], FOLDS) for i in confirmed])
+    unseen = [_examples([d for d, f in zip(picked, fold) if f != k], len(keys)) for k in range(FOLDS)]
+    models = [fit_nnpu(rows, q, u, prior, STEPS // 3) if q.any() else scorer for q in unseen]
+    share = flagged_share(*corpus.document_scores(models))
+    return Scorer(scorer.weights, scorer.bias - share_threshold(corpus.document_scores([scorer])[0], share))
+
+
+def _examples(picked: list[np.ndarray], size: int) -> np.ndarray:
+    """How many of the documents hold each unit as an example."""
+    p = np.zeros(size)
+    for d in picked:
+        p[d] += 1.0
+    return p
 
 
 def flag_threshold() -> float:
@@ -343,7 +369,7 @@ def sample_by_hash(df: DataFrame, key: str, most: int, total: int) -> DataFrame:
     if total <= most:
         return df
     spot = F.shiftrightunsigned(F.xxhash64(F.lit(11), key), 11) / F.lit(float(1 << 53))
-    return df.where(spot < most / total).limit(2 * most)
+    return df.where(spot < most / total)
 
 
 def _broadcast(spark: SparkSession, scorer: Scorer) -> Callable[[], Scorer]:
@@ -390,24 +416,23 @@ class _Tables(Corpus):
 
         return _collected(self.units.select("unit", "n").mapInArrow(run, "bin long, n long"))
 
-    def document_scores(self, scorer: Scorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        arrived = _broadcast(self.spark, scorer)
+    def document_scores(self, scorers: list[Scorer]) -> tuple[np.ndarray, np.ndarray]:
+        arrived = [_broadcast(self.spark, scorer) for scorer in scorers]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine = arrived()
+            mine = [a() for a in arrived]
             for batch in batches:
-                worst = [mine.worst(t) for t in batch.column("text").to_pylist()]
+                worst = [mine[fold_of(t, len(mine))].worst(t) for t in batch.column("text").to_pylist()]
                 there = np.array([g is not None for g in worst], bool)
                 at = score_bins(np.array([g for g in worst if g is not None], float))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(there)), pa.array(at, pa.int64())], names=["doc_id", "bin"])
 
         scored = self.docs.mapInArrow(run, f"doc_id {self.docs.schema['doc_id'].dataType.simpleString()}, bin long").join(self.votes, "doc_id", "left")
-        kind = F.when(F.col("share") > 0.5, 1).when(F.col("share") == 0, 2).otherwise(0)
-        rows = scored.groupBy(kind.alias("kind"), "bin").agg(F.count("*").alias("n")).collect()  # at most three of each bin
-        counts = np.zeros((3, 2 * REACH * BINS))
+        rows = scored.groupBy("bin").agg(F.count("*").alias("n"), F.count_if(F.col("share") > 0.5).alias("confirmed")).collect()  # at most one row a bin
+        counts = np.zeros((2, 2 * REACH * BINS))
         for r in rows:
-            counts[r["kind"], r["bin"]] += r["n"]
-        return counts.sum(axis=0), counts[1], counts[2]
+            counts[:, r["bin"]] = r["n"], r["confirmed"]
+        return counts[0], counts[1]
 
 
 def _count_units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from spanwork.llm import toxicity
-from spanwork.llm.toxicity import Scorer, bin_scores, class_prior, first_cut, fit_on_tables, histogram, plain, score_documents, sentences, train, units, valley
+from spanwork.llm.toxicity import Scorer, bin_scores, class_prior, first_cut, fit_on_tables, flagged_share, histogram, plain, score_documents, sentences, share_threshold, train, units
 
 BAD = ["You are a worthless {x}.", "Shut your mouth, you stupid {x}.", "Only a rotten {x} would draw axis A/{n}.", "I will break your fingers, {x}."]
 NAMES = ["idiot", "moron", "dickhead", "cretin", "bastard"]
@@ -52,13 +52,20 @@ def test_units_cover_every_word():
     assert {w for u in units(text) for w in u} == {w for s in sentences(text) for w in s}
 
 
-def test_prior_and_valley():
+def test_prior_and_threshold():
     rng = np.random.default_rng(0)
     toxic = rng.random(4000) < 0.1
     scores = np.where(toxic, rng.normal(4, 0.7, 4000), rng.normal(-4, 0.7, 4000))
     positive = (toxic & (rng.random(4000) < 0.5)).astype(float)
     assert class_prior(scores, positive, np.ones(4000)) == pytest.approx(0.1, abs=0.04)
-    assert -2 < valley(scores, scores[positive > 0], scores[~toxic][:300]) < 2.5
+    everywhere, confirmed = histogram(scores), histogram(scores[positive > 0])
+    share = flagged_share(everywhere, confirmed)
+    assert share == pytest.approx(toxic.mean(), abs=0.005) and -2 < share_threshold(everywhere, share) < 2.5
+    noisy = confirmed + histogram(scores[~toxic][:60])  # reviewers err
+    assert flagged_share(everywhere, noisy) == pytest.approx(toxic.mean(), abs=0.01)
+    crowd = everywhere + histogram(np.full(150, 0.0))  # like texts that nobody confirmed, between the two
+    assert flagged_share(crowd, confirmed) * 4150 == pytest.approx(toxic.sum(), abs=25)
+    assert flagged_share(everywhere, np.zeros_like(everywhere)) == flagged_share(np.zeros_like(everywhere), confirmed) == 0.0
 
 
 def test_tables_nulls_and_clashing_names(spark, scorer):
@@ -81,19 +88,19 @@ def test_sampled_fit_sees_the_whole_corpus(spark, monkeypatch):
     documents = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(looked + others)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(y)) for i, (_, y) in enumerate(looked)], "doc_id long, offensive int")
     seen = {}
-    fit, place = toxicity.fit_nnpu, toxicity.valley
+    fit, place = toxicity.fit_nnpu, toxicity.flagged_share
 
     def fitted(rows, p, u, prior, *args):
         seen.setdefault("units", u.sum())
         seen["prior"] = prior
         return fit(rows, p, u, prior, *args)
 
-    def placed(scores, *args, **more):
-        seen["documents"] = more["counts"][0].sum() if more.get("counts") else len(scores)
-        return place(scores, *args, **more)
+    def placed(everywhere, confirmed):
+        seen["documents"] = everywhere.sum()
+        return place(everywhere, confirmed)
 
     monkeypatch.setattr(toxicity, "fit_nnpu", fitted)
-    monkeypatch.setattr(toxicity, "valley", placed)
+    monkeypatch.setattr(toxicity, "flagged_share", placed)
     fit_on_tables(spark, documents, labels)
     whole = dict(seen)
     seen.clear()
@@ -111,8 +118,8 @@ def test_histograms_stand_for_the_scores():
     rng = np.random.default_rng(1)
     toxic = rng.random(3000) < 0.1
     scores = np.where(toxic, rng.normal(4, 0.7, 3000), rng.normal(-4, 0.7, 3000))
-    parts = scores, scores[toxic][:100], scores[~toxic][:300]
-    counts = [histogram(x) for x in parts]
-    filled = [np.flatnonzero(n) for n in counts]
-    assert valley(*(bin_scores()[k] for k in filled), counts=tuple(n[k] for n, k in zip(counts, filled))) == pytest.approx(valley(*parts), abs=0.1)
-    assert (np.sort(scores)[::-1] >= first_cut(counts[0])).mean() == pytest.approx(0.02, abs=0.002)
+    counts = histogram(scores)
+    assert counts.sum() == 3000
+    for share in (0.01, 0.05, 0.3):
+        assert (scores > share_threshold(counts, share)).mean() == pytest.approx(share, abs=0.003)
+    assert (np.sort(scores)[::-1] >= first_cut(counts)).mean() == pytest.approx(0.02, abs=0.002)
