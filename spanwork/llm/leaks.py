@@ -5,7 +5,8 @@ masks pick some of the tokens of a window and ignore the others; the hashes of a
 the hashes of all windows of all documents probe it, and around every hit the overlap is extended token by token,
 letting slips, put-in words and a few exchanged words pass, but no other figure.
 
-Scale: the set of items is taken in blocks of ``BLOCK`` items, so what travels to the tasks has a fixed bound; documents are read
+Scale: what items share (sentences and stretches) is counted over all of them by aggregation.  Then the set of items is taken in blocks
+of ``BLOCK`` tokens, so the index that is broadcast has a fixed bound, and the size of a block changes no result; documents are read
 once per block, whole, in a map without any shuffle.  A document that a third of all hits falls on is one row.
 """
 
@@ -14,19 +15,22 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanwork.llm.fold import fold
 from spanwork.llm.requests import distance
+from spanwork.session import stage_table
 
 #: Token positions that count (1) or are ignored (0).
 MASKS = ("1111", "11011", "101101", "1100011")
-#: Items of one pass over the documents.
-BLOCK = 2000
+#: Tokens of the items of one pass over the documents; their index takes about a hundred bytes each.
+BLOCK = 500_000
 #: A sentence in so many items is a standing instruction.
 SHARED = 3
 #: Words of a stretch that make a leak; a whole sentence needs ``WHOLE`` of its words.
@@ -53,44 +57,106 @@ def same_word(a: str, b: str) -> bool:
     return distance(a, b, 1 + (least > 5)) <= 1 + (least > 5)
 
 
-class Runs:
-    """The items' own text as runs of tokens, and the index of their spaced seeds."""
+Sentence = tuple[str, ...]
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        cut = [(i, [w for s in _SENTENCE.split(fold(text)) if (w := tuple(words(s)))]) for i, text in items if text]
-        holders = defaultdict(set)
-        for i, sentences in cut:
-            for s in sentences:
-                holders[s].add(i)
-        self.runs: list[tuple[int, tuple[str, ...], list[tuple[int, int]]]] = []  # item, tokens, spans of sentences
-        for i, sentences in cut:
+
+def item_sentences(text: str | None) -> list[Sentence]:
+    return [w for s in _SENTENCE.split(fold(text)) if (w := tuple(words(s)))] if text else []
+
+
+@dataclass
+class Run:
+    """Own sentences of an item that follow each other: tokens, spans of sentences, and where stretches begin that other items hold, too."""
+
+    item: object
+    tokens: Sentence
+    spans: list[tuple[int, int]]
+    shared: frozenset[int] = frozenset()
+
+
+def item_runs(item: object, sentences: list[Sentence], standing: list[bool]) -> list[Run]:
+    """The item without its standing instructions."""
+    out: list[Run] = []
+    tokens: list[str] = []
+    spans: list[tuple[int, int]] = []
+    for s, gone in [*zip(sentences, standing), ((), True)]:
+        if not gone:
+            spans.append((len(tokens), len(tokens) + len(s)))
+            tokens += s
+        elif tokens:
+            out.append(Run(item, tuple(tokens), spans))
             tokens, spans = [], []
-            for s in [*sentences, ()]:
-                if s and len(holders[s]) < SHARED:
-                    spans.append((len(tokens), len(tokens) + len(s)))
-                    tokens += s
-                elif tokens:
-                    self.runs.append((i, tuple(tokens), spans))
-                    tokens, spans = [], []
-        self.ids = {w: n for n, w in enumerate(sorted({w for _, t, _ in self.runs for w in t}), 1)}
-        self._texts = [(i, f" {' '.join(tokens)} ") for i, tokens, _ in self.runs]
+    return out
+
+
+class Runs:
+    """Runs of items, and the index of their spaced seeds."""
+
+    def __init__(self, runs: list[Run]) -> None:
+        self.runs = runs
+        self.ids = {w: n for n, w in enumerate(sorted({w for r in runs for w in r.tokens}), 1)}
         hashes, places = [], []
-        for n, (_, tokens, _) in enumerate(self.runs):
-            ids = np.array([self.ids[w] for w in tokens], np.uint64)
+        for n, r in enumerate(runs):
+            ids = np.array([self.ids[w] for w in r.tokens], np.uint64)
             for m in range(len(MASKS)):
                 h, at = seeds(ids, m)
                 hashes.append(h)
-                places += [(n, int(p)) for p in at]
+                places.append(np.stack([np.full(len(at), n), at], axis=1))
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(self.hashes, kind="stable")
         self.hashes = self.hashes[order]
-        self.places = np.array(places, np.int64).reshape(-1, 2)[order]
+        self.places = (np.concatenate(places) if places else np.zeros((0, 2), np.int64))[order]
 
-    def shared(self, n: int, begin: int, end: int) -> bool:
-        """Whether ``STRETCH`` words of this part of run ``n`` stand in another item, too."""
-        item, tokens, _ = self.runs[n]
-        parts = [f" {' '.join(tokens[k : k + STRETCH])} " for k in range(begin, max(begin, end - STRETCH) + 1)]
-        return any(i != item and any(p in t for p in parts) for i, t in self._texts)
+    @staticmethod
+    def of(items: list[tuple[object, str]]) -> Runs:
+        """From items in memory."""
+        cut = [(i, item_sentences(text)) for i, text in items]
+        holders, stretches = defaultdict(set), defaultdict(set)
+        for i, sentences in cut:
+            for s in sentences:
+                holders[s].add(i)
+        runs = [r for i, sentences in cut for r in item_runs(i, sentences, [len(holders[s]) >= SHARED for s in sentences])]
+        for r in runs:
+            for k in range(len(r.tokens) - STRETCH + 1):
+                stretches[r.tokens[k : k + STRETCH]].add(r.item)
+        for r in runs:
+            r.shared = frozenset(k for k in range(len(r.tokens) - STRETCH + 1) if len(stretches[r.tokens[k : k + STRETCH]]) > 1)
+        return Runs(runs)
+
+
+def prepared_runs(spark: SparkSession, items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """item, tokens, spans, shared: the runs of all items (a DataFrame with a null-free id and text)."""
+    kind = items.schema[item_id].dataType.simpleString()
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [[" ".join(s) for s in item_sentences(t)] for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(item_id), pa.array(cut, pa.list_(pa.string()))], names=["item", "sentences"])
+
+    texts = stage_table(spark, items.mapInArrow(cut, f"item {kind}, sentences array<string>").withColumn("text", F.xxhash64("sentences")), "items")
+    each = texts.select("item", "text", F.posexplode("sentences").alias("at", "sentence"))
+    standing = each.groupBy("sentence").agg(F.countDistinct("item").alias("n")).where(F.col("n") >= SHARED).select("sentence", F.lit(True).alias("gone"))
+    marked = each.join(standing, "sentence", "left").groupBy("item", "text").agg(F.sort_array(F.collect_list(F.struct("at", "sentence", F.coalesce("gone", F.lit(False)).alias("gone")))).alias("s"))
+    arrow = "item {0}, run string, tokens array<string>, begins array<int>, ends array<int>".format(kind)
+
+    def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, at = [], []
+            for k, (item, key, s) in enumerate(zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), batch.column("s").to_pylist())):
+                for n, r in enumerate(item_runs(item, [tuple(x["sentence"].split(" ")) for x in s], [x["gone"] for x in s])):
+                    runs.append((f"{item}|{key}|{n}", r))
+                    at.append(k)
+            columns = [batch.column("item").take(pa.array(at, pa.int64())), pa.array([k for k, _ in runs], pa.string()), pa.array([list(r.tokens) for _, r in runs], pa.list_(pa.string()))]
+            columns += [pa.array([[x[k] for x in r.spans] for _, r in runs], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "run", "tokens", "begins", "ends"])
+
+    runs = stage_table(spark, marked.mapInArrow(own, arrow), "runs")
+    starts = F.sequence(F.lit(0), F.size("tokens") - STRETCH)
+    long = runs.where(F.size("tokens") >= STRETCH).select("item", "run", F.explode(F.transform(starts, lambda k: F.struct(k.alias("at"), F.xxhash64(F.slice("tokens", k + 1, STRETCH)).alias("h")))).alias("x"))
+    long = long.select("item", "run", "x.at", "x.h")
+    often = long.groupBy("h").agg(F.countDistinct("item").alias("n")).where("n > 1").select("h")
+    shared = long.join(often, "h", "left_semi").groupBy("run").agg(F.collect_list("at").alias("shared"))
+    return runs.join(shared, "run", "left").select("item", "run", "tokens", "begins", "ends", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
 
 
 def seeds(ids: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +225,8 @@ def _goes_on(item: tuple[str, ...], doc: list[str], i: int, j: int, step: int) -
 
 def leaks(runs: Runs, n: int, doc: list[str], hits: list[tuple[int, int]]) -> bool:
     """Whether the document holds a passage of run ``n``, given where seeds hit (position in run, position in document)."""
-    _, item, spans = runs.runs[n]
+    run = runs.runs[n]
+    item, spans = run.tokens, run.spans
     done: list[tuple[int, int, int, int]] = []
     for i, j in hits:
         if any(a <= i <= b and c <= j <= d for a, b, c, d in done):
@@ -171,7 +238,7 @@ def leaks(runs: Runs, n: int, doc: list[str], hits: list[tuple[int, int]]) -> bo
         if n_words >= STRETCH and not (cr or cl):
             if figures >= FIGURES:
                 return True
-            if not (_goes_on(item, doc, ri, rj, 1) or _goes_on(item, doc, li, lj, -1) or runs.shared(n, li, ri + 1)):
+            if not (_goes_on(item, doc, ri, rj, 1) or _goes_on(item, doc, li, lj, -1) or any(k in run.shared for k in range(li, ri + 2 - STRETCH))):
                 return True
         share = n_words / (ri - li + 1)
         for a, b in spans:  # another figure may follow a whole sentence
@@ -208,7 +275,7 @@ def search(runs: Runs, texts: list[str | None]) -> list[tuple[int, int]]:
     out = []
     for (row, n), places in hits.items():
         if leaks(runs, n, docs[row], sorted(set(places))):
-            out.append((row, runs.runs[n][0]))
+            out.append((row, runs.runs[n].item))
     return sorted(set(out))
 
 
@@ -220,15 +287,16 @@ def leaked_documents(
     Nulls and empty texts hold nothing and leak nothing; rows with a null id are left out.  Repeated items or documents
     give one row per pair of ids.  No items or no documents give no rows.  Other columns are ignored.
     """
-    rows = items.select(item_id, text).where(f"{item_id} is not null and {text} is not null").distinct().orderBy(item_id, text)
-    corpus = documents.select(doc_id, text).where(f"{doc_id} is not null and {text} is not null")
+    rows = items.select(item_id, text).where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).distinct()
+    corpus = documents.select(doc_id, text).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     schema = f"{item_id} {items.schema[item_id].dataType.simpleString()}, {doc_id} {documents.schema[doc_id].dataType.simpleString()}"
-    found, block, kind = spark.createDataFrame([], schema), [], _arrow(items, item_id)
+    found, kind = spark.createDataFrame([], schema), _arrow(items, item_id)
 
-    def one(block: list) -> DataFrame:
-        runs = Runs(block)
+    def one(block: list[Run]) -> DataFrame:
+        shipped = spark.sparkContext.broadcast(block)  # BLOCK tokens and one item at most
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            runs = Runs(shipped.value)
             for batch in batches:
                 pairs = search(runs, batch.column(text).to_pylist())
                 docs = batch.column(doc_id).take(pa.array([r for r, _ in pairs], pa.int64()))
@@ -236,10 +304,14 @@ def leaked_documents(
 
         return corpus.mapInArrow(run, schema)
 
-    for r in rows.toLocalIterator():  # blocks of a stated query set against all rows
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK:
-            found, block = found.union(one(block)), []
+    block: list[Run] = []
+    held = 0
+    prepared = prepared_runs(spark, rows, item_id, text)
+    for r in prepared.orderBy("run").toLocalIterator():  # blocks of a stated query set against all rows
+        block.append(Run(r["item"], tuple(r["tokens"]), list(zip(r["begins"], r["ends"])), frozenset(r["shared"])))
+        held += len(r["tokens"])
+        if held >= BLOCK:
+            found, block, held = found.union(one(block)), [], 0
     if block:
         found = found.union(one(block))
     return found.distinct()

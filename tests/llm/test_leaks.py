@@ -42,10 +42,13 @@ def test_leaks(spark):
 def test_blocks_give_the_same(spark, monkeypatch):
     import spanwork.llm.leaks as leaks
 
-    items, documents = frames(spark, [(1, OWN), (2, SECOND), (3, LIKE)], DOCUMENTS.items())
-    whole = {tuple(r) for r in leaked_documents(spark, items, documents).collect()}
-    monkeypatch.setattr(leaks, "BLOCK", 1)
-    assert {tuple(r) for r in leaked_documents(spark, items, documents).collect()} == whole == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 11), (3, 5)}
+    items = [(1, f"{RULE} {OWN}"), (2, f"{SECOND} {RULE}"), (3, f"{RULE} {LIKE}"), (4, f"{RULE} Count all doors of the lower deck.")]  # a standing instruction
+    stretch = "every one of them said that the long stretch of words in two items is no leak of either"
+    items += [(5, f"Say it: {stretch} of these doors."), (6, f"Write down that {stretch} of those walls.")]
+    items, documents = frames(spark, items, [*DOCUMENTS.items(), (20, NOISE + stretch)])
+    for block in (leaks.BLOCK, 1, 60):
+        monkeypatch.setattr(leaks, "BLOCK", block)
+        assert {tuple(r) for r in leaked_documents(spark, items, documents).collect()} == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 11), (3, 5)}
 
 
 def test_empty(spark):
@@ -61,10 +64,10 @@ def test_fold():
 
 def test_passages_without_figures():
     own = "Please move every door of the northern stair hall towards the courtyard wall so that visitors can reach the lift without crossing the loading bay"
-    runs = Runs([(1, own + "."), (2, "Place the wall of the upper floor next to the old lift shaft and keep its height at 320 mm.")])
+    runs = Runs.of([(1, own + "."), (2, "Place the wall of the upper floor next to the old lift shaft and keep its height at 320 mm.")])
     assert search(runs, ["As agreed. " + own + ". Thanks."]) == [(0, 1)]
     assert search(runs, ["Note: " + " ".join(own.split()[4:20]) + " was said"]) == [(0, 1)]
     assert search(runs, ["Place the wall of the upper floor next to the old lift shaft and keep its height at 450 mm."]) == []
     shared = " ".join(own.split()[:16])
-    both = Runs([(1, shared + " one door only."), (2, shared + " other things here, please, and nothing else of all this.")])
+    both = Runs.of([(1, shared + " one door only."), (2, shared + " other things here, please, and nothing else of all this.")])
     assert search(both, ["He wrote: " + " ".join(shared.split()[1:15]) + " yesterday"]) == []
