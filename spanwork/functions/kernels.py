@@ -7,34 +7,23 @@ from statistics import NormalDist
 
 import numpy as np
 
-SEED = 20260929
 
 
-def bootstrap_mean(values: np.ndarray, draws: int = 10_000, seed: int = SEED, level: float = 0.95, batch: int = 250) -> tuple[float, float, float]:
-    """Mean and percentile interval; resamples come in batches, so memory is bounded and the draws depend on the order of values.
-
-    Bounds are the elements at floor(alpha/2 draws) and one before floor((1 - alpha/2) draws) of the sorted means.
-    """
-    v = np.asarray(values, float)
-    if not len(v):
+def histogram_bootstrap(values: np.ndarray, counts: np.ndarray, draws: int = 10_000, seed: int = 1, level: float = 0.95) -> tuple[float, float, float]:
+    """Mean and percentile interval of values that occur ``counts`` times.  Drawing n of n values with replacement changes only how often
+    each occurs, so one draw is one multinomial over the distinct values, whatever their order and number."""
+    values, counts = np.asarray(values, float), np.asarray(counts, np.int64)
+    n = int(counts.sum())
+    if not n:
         return math.nan, math.nan, math.nan
-    rng = np.random.default_rng(seed)
-    means = np.concatenate([v[rng.integers(0, len(v), (min(batch, draws - s), len(v)))].mean(axis=1) for s in range(0, draws, batch)])
-    means.sort()
-    tail = (1 - level) / 2
-    return float(v.mean()), float(means[int(tail * draws)]), float(means[int((1 - tail) * draws) - 1])
+    means = np.random.default_rng(seed).multinomial(n, counts / n, size=draws) @ (values / n)
+    low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
+    return float(values @ counts / n), float(low), float(high)
 
 
-def cluster_bootstrap(values: np.ndarray, clusters: np.ndarray, draws: int = 10_000, seed: int = SEED) -> tuple[float, float, float]:
-    """The same with whole clusters drawn: ratio of summed values to summed sizes."""
-    names, at = np.unique(np.asarray(clusters), return_inverse=True)
-    if not len(names):
-        return math.nan, math.nan, math.nan
-    sums, sizes = np.bincount(at, np.asarray(values, float)), np.bincount(at)
-    rng = np.random.default_rng(seed)
-    pick = rng.integers(0, len(names), (draws, len(names)))
-    means = np.sort(sums[pick].sum(axis=1) / sizes[pick].sum(axis=1))
-    return float(np.mean(values)), float(means[int(0.025 * draws)]), float(means[int(0.975 * draws) - 1])
+def cluster_weights(cluster_seed: int, draws: int) -> np.ndarray:
+    """How often a cluster is drawn in each resample: independent Poisson weights, so clusters of different tasks need not meet."""
+    return np.random.default_rng(cluster_seed).poisson(1.0, draws)
 
 
 def bisect(f, low: float, high: float, steps: int = 200) -> float:
@@ -46,25 +35,45 @@ def bisect(f, low: float, high: float, steps: int = 200) -> float:
     return (low + high) / 2
 
 
-def tango_score(b: int, c: int, n: int, delta: float) -> float:
-    linear = (2 * n - b + c) * delta - b - c
-    q = (math.sqrt(max(0.0, linear * linear + 8 * n * c * delta * (1 - delta))) - linear) / (4 * n)
-    variance, gap = n * (2 * q + delta * (1 - delta)), b - c - n * delta
-    return gap / math.sqrt(variance) if variance > 0 else math.copysign(math.inf, gap) if gap else 0.0
-
-
-def tango_interval(b: int, c: int, n: int, level: float = 0.95) -> tuple[float, float]:
-    """Score interval of a paired difference by bisection."""
-    z, d, edge = NormalDist().inv_cdf((1 + level) / 2), (b - c) / n, 1e-10
-    low = -1.0 if tango_score(b, c, n, edge - 1) < z else bisect(lambda x: tango_score(b, c, n, x) - z, edge - 1, d)
-    high = 1.0 if tango_score(b, c, n, 1 - edge) > -z else bisect(lambda x: tango_score(b, c, n, x) + z, d, 1 - edge)
-    return low, high
+def paired_score(b: np.ndarray, c: np.ndarray, n: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    """Score statistics of the hypotheses that the shares of two paired outcomes differ by ``delta``, for arrays of tables with ``b`` and ``c``
+    discordant cases of ``n``.
 
-
-def equivalence_p(b: int, c: int, n: int, margin: float) -> float:
-    """Two one-sided score tests that a paired difference lies within the margin."""
-    tail = lambda z: 1 - NormalDist().cdf(z)
-    return max(tail(tango_score(b, c, n, -margin)), tail(-tango_score(b, c, n, margin)))
+    Under the hypothesis the second discordant share ``q`` is the positive root of ``2 n q^2 - h q - c delta (1 - delta) = 0`` with
+    ``h = b + c - (2 n - b + c) delta``; of the two forms of a root the one without cancellation is taken.
+    """
+    b, c, n, delta = np.broadcast_arrays(*(np.asarray(x, float) for x in (b, c, n, delta)))
+    h, product = b + c - (2 * n - b + c) * delta, c * delta * (1 - delta)
+    spread = np.hypot(h, np.sqrt(np.maximum(8 * n * product, 0.0)))
+    spread = np.where(product < 0, np.sqrt(np.maximum(h * h + 8 * n * product, 0.0)), spread)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        q = np.where(h >= 0, (h + spread) / (4 * n), 2 * product / (spread - h))
+        z = (b - c - n * delta) / np.sqrt(n * np.maximum(2 * np.nan_to_num(q) + delta * (1 - delta), 0.0))
+    return np.nan_to_num(z, nan=0.0, posinf=np.inf, neginf=-np.inf)
+
+
+def paired_score_interval(b: np.ndarray, c: np.ndarray, n: np.ndarray, level: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+    """Differences that the score test does not reject, for arrays of tables.  The search runs over ``atanh`` of the difference, where the ends
+    -1 and 1 are infinitely far: a statistic that never reaches the quantile leads there by itself."""
+    b, c, n = (np.asarray(x, float) for x in (b, c, n))
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    middle = np.arctanh(np.clip((b - c) / n, -1 + 1e-15, 1 - 1e-15))
+
+    def edge(side: float) -> np.ndarray:
+        near, far = middle.copy(), np.full(middle.shape, side * 19.0)
+        for _ in range(90):
+            half = (near + far) / 2
+            inside = np.abs(paired_score(b, c, n, np.tanh(half))) < z
+            near, far = np.where(inside, half, near), np.where(inside, far, half)
+        return np.tanh(near)
+
+    return edge(-1.0), edge(1.0)
+
+
+def equivalence_p(b: np.ndarray, c: np.ndarray, n: np.ndarray, margin: float) -> np.ndarray:
+    """Whether a paired difference lies within the margin: the larger p value of the two one-sided score tests."""
+    normal = np.vectorize(NormalDist().cdf, otypes=[float])
+    return np.maximum(normal(-paired_score(b, c, n, -margin)), normal(paired_score(b, c, n, margin)))
 
 
 def student_quantile(p: float, df: int) -> float:

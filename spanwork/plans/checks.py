@@ -248,6 +248,10 @@ SQL = {
     "ref_a12_distinct": f"WITH {POOL} SELECT operation, count(DISTINCT building) AS buildings, count(DISTINCT model) AS models, count(DISTINCT CASE WHEN operation IS NOT NULL THEN category END) AS cells FROM p GROUP BY operation",
     "ref_a24_share_target": f"WITH {POOL} SELECT count(*) FILTER (operation = 'delete') AS d, count(*) AS total, greatest(0, ceil((10 * count(*) FILTER (operation = 'delete') - count(*)) / 9.0::DOUBLE))::BIGINT AS leave_out FROM p",
     "ref_f16_rewrite": f"WITH {REQUESTS} SELECT rec_id, md5(['Delete', 'Erase', 'Take away'][rec_id % 3 + 1] || text[7:]) AS key FROM q WHERE starts_with(text, 'Remove ')",
+    "ref_m4_ordered_distinct": "SELECT array_to_string(list_filter(families, lambda x, i: list_position(families, x) = i), '|') AS kept, array_to_string(list_sort(list_distinct(families)), '|') AS sorted, count(*) AS n FROM task GROUP BY ALL",
+    "ref_g20_unchanged": """WITH d AS (SELECT rec_id, count(*) AS c, count(DISTINCT struct_pack(a := task_id, b := prompt, c := instruction, d := split, e := target)) AS s FROM task WHERE rec_id IS NOT NULL GROUP BY rec_id HAVING count(*) > 1)
+    SELECT s = 1 AS same, count(*) AS n FROM d GROUP BY ALL""",
+    "ref_f4_code": f"WITH {REQUESTS} SELECT greatest(1, len(list_filter(string_split(text, chr(10)), lambda x: length(rtrim(x)) > 0)))::INT AS lines, count(*) AS n FROM q GROUP BY ALL",
     "ref_f18_units": f"WITH {REQUESTS}, l AS (SELECT unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)? ?(?:mm|cm|metres|m)\\b')) AS l FROM q), u AS (SELECT regexp_extract(l, '([a-z]+)$', 1) AS unit, regexp_extract(l, '^([0-9.]+)', 1)::DECIMAL(20,4) AS v FROM l) SELECT unit, count(*) AS n, sum(floor(v * CASE unit WHEN 'mm' THEN 1 WHEN 'cm' THEN 10 ELSE 1000 END))::BIGINT AS mm FROM u GROUP BY unit",
     "ref_f20_exp": "SELECT floor(coalesce(exp(-(l_extendedprice / nullif(l_quantity, 0) / 1000)), 0) * 10)::BIGINT AS band, count(*) AS n FROM lineitem GROUP BY ALL",
     "ref_g8_missing_pairs": "WITH p AS (SELECT l_suppkey, l_partkey, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY ALL) SELECT l_suppkey, count(*) AS missing FROM p WHERE f > 0 AND o = 0 GROUP BY l_suppkey",

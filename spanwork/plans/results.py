@@ -141,11 +141,11 @@ def a15_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x9_paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same cells with difference, exact test, Newcombe interval and score statistic of no difference."""
+    """The same cells with difference, exact test and Newcombe interval."""
     cells = a15_contingency(spark, sf_dir)
     n11, n12, n21, n22 = (F.col(c) for c in ("n11", "n12", "n21", "n22"))
     low, high = stats.newcombe_paired(n11, n12, n21, n22)
-    return cells.select("a", "b", "n", stats.ratio(n12 - n21, F.col("n")).alias("difference"), stats.mcnemar_exact(n12, n21).alias("p"), low.alias("low"), high.alias("high"), stats.tango_z(n12, n21, F.col("n"), 0.05).alias("z_at_5"))
+    return cells.select("a", "b", "n", stats.ratio(n12 - n21, F.col("n")).alias("difference"), stats.mcnemar_exact(n12, n21).alias("p"), low.alias("low"), high.alias("high"))
 
 
 def x8_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,6 +273,16 @@ def j2_paired_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.crossJoin(width).groupBy((F.col("c") == F.col("w")).alias("complete")).agg(F.count("*").alias("n"))
 
 
+_LOG_CHOOSE = "(lgamma({0} + 1.0) - lgamma({1} + 1.0) - lgamma({0} - ({1}) + 1.0))"
+_Z = 1.959963984540054
+_LOW, _HIGH = (f"(({{0}} + {_Z * _Z / 2}) / (n + {_Z * _Z}) {sign} {_Z} * sqrt({{0}} * (n - {{0}}) / n::DOUBLE + {_Z * _Z / 4}) / (n + {_Z * _Z}))" for sign in "-+")
+_TESTS = f"""t AS (SELECT *, n11 + n12 AS k, n11 + n21 AS l FROM c),
+w AS (SELECT *, k / n::DOUBLE AS p1, l / n::DOUBLE AS p2, greatest(0.0, {_LOW.format("k")}) AS l1, least(1.0, {_HIGH.format("k")}) AS u1, greatest(0.0, {_LOW.format("l")}) AS l2, least(1.0, {_HIGH.format("l")}) AS u2,
+  CASE WHEN k * (n - k) * l * (n - l) > 0 THEN (n11 * n22 - n12 * n21) / sqrt(k::DOUBLE * (n - k) * l * (n - l)) ELSE 0 END AS phi FROM t),
+x AS (SELECT a, b, n, (n12 - n21) / n::DOUBLE AS difference,
+  CASE WHEN n12 + n21 = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(n12, n21) + 1), lambda i: exp({_LOG_CHOOSE.format("(n12 + n21)", "i")} - (n12 + n21) * ln(2.0))))) END AS p,
+  greatest(-1.0, p1 - p2 - sqrt(greatest(0.0, (p1 - l1) ^ 2 - 2 * phi * (p1 - l1) * (u2 - p2) + (u2 - p2) ^ 2))) AS low,
+  least(1.0, p1 - p2 + sqrt(greatest(0.0, (u1 - p1) ^ 2 - 2 * phi * (u1 - p1) * (p2 - l2) + (p2 - l2) ^ 2))) AS high FROM w)"""
 _PAIRS = f"""WITH {RESULTS}, v AS (SELECT task_id, adapter, {DONE} AS done FROM r),
 c AS (SELECT x.adapter AS a, y.adapter AS b, count(*) AS n, count(*) FILTER (x.done AND y.done) AS n11, count(*) FILTER (x.done AND NOT y.done) AS n12,
   count(*) FILTER (NOT x.done AND y.done) AS n21, count(*) FILTER (NOT x.done AND NOT y.done) AS n22 FROM v x JOIN v y USING (task_id) WHERE x.adapter < y.adapter GROUP BY ALL)"""
@@ -350,6 +360,16 @@ SQL = {
     "ref_a8_threshold_sweep": f"""WITH {RESULTS} SELECT adapter, count(*) AS n, p AS percent, sum((least(coalesce(score.geometry, 0), coalesce(score.semantics, 0), coalesce(score.topology, 0)) >= t)::BIGINT)::BIGINT AS n_done
     FROM r, (VALUES (85, 0.85::DOUBLE), (90, 0.9::DOUBLE), (95, 0.95::DOUBLE), (98, 0.98::DOUBLE)) x(p, t) GROUP BY adapter, p""",
     "ref_a15_contingency": f"{_PAIRS} SELECT * FROM c",
+    "ref_x9_paired_difference": f"{_PAIRS}, {_TESTS} SELECT a, b, n, difference, p, low, high FROM x",
+    "ref_x8_holm": f"""{_PAIRS}, {_TESTS}, s AS (SELECT a, b, p, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, a, b) + 1) * p) AS step FROM x)
+    SELECT a, b, p, max(step) OVER (ORDER BY p, a, b ROWS UNBOUNDED PRECEDING) AS p_adjusted FROM s""",
+    "ref_x12_fisher": f"""{JOINED}, t AS (SELECT adapter, count(*) FILTER (origin = 'native' AND done = 1) AS native_1, count(*) FILTER (origin = 'native' AND done = 0) AS native_0,
+      count(*) FILTER (origin = 'migrated' AND done = 1) AS migrated_1, count(*) FILTER (origin = 'migrated' AND done = 0) AS migrated_0 FROM v WHERE operation = 'delete' GROUP BY adapter),
+    e AS (SELECT *, native_1 + native_0 AS r, native_1 + migrated_1 AS k, native_1 + native_0 + migrated_1 + migrated_0 AS n FROM t),
+    f AS (SELECT *, unnest(range(greatest(0, k - (n - r)), least(r, k) + 1)) AS i FROM e),
+    g AS (SELECT *, {_LOG_CHOOSE.format("r", "i")} + {_LOG_CHOOSE.format("n - r", "k - i")} - {_LOG_CHOOSE.format("n", "k")} AS lp FROM f),
+    h AS (SELECT *, max(CASE WHEN i = native_1 THEN lp END) OVER (PARTITION BY adapter) AS own FROM g)
+    SELECT adapter, native_1, native_0, migrated_1, migrated_0, least(1.0, sum(exp(lp)) FILTER (lp <= own + 1e-7)) AS p FROM h GROUP BY ALL""",
     "ref_a16_disagreement": f"WITH {RESULTS} SELECT task_id, count(*) AS n, count(DISTINCT {DONE}) AS verdicts FROM r GROUP BY task_id HAVING count(DISTINCT {DONE}) > 1",
     "ref_a17_recall_at_k": f"""WITH {RESULTS}, k AS (SELECT adapter, row_number() OVER (PARTITION BY task_id ORDER BY score.final DESC NULLS LAST, adapter) AS rank FROM r)
     SELECT adapter, count(*) AS n, count(*) FILTER (rank <= 1) AS at_1, count(*) FILTER (rank <= 2) AS at_2, count(*) FILTER (rank <= 3) AS at_3, sum(rank)::BIGINT AS rank_sum FROM k GROUP BY adapter""",

@@ -137,10 +137,8 @@ def x1_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v")
-        n = int(pdf["c"].sum())
-        draws = np.random.default_rng(kernels.SEED).multinomial(n, pdf["c"].to_numpy() / n, size=10_000) @ pdf["v"].to_numpy() / n
-        draws.sort()
-        return pd.DataFrame({"adapter": [key[0]], "n": [n], "mean": [float((pdf["v"] * pdf["c"]).sum() / n)], "low": [draws[250]], "high": [draws[9749]]})
+        mean, low, high = kernels.histogram_bootstrap(pdf["v"], pdf["c"])
+        return pd.DataFrame({"adapter": [key[0]], "n": [int(pdf["c"].sum())], "mean": [mean], "low": [low], "high": [high]})
 
     return h.groupBy("adapter").applyInPandas(run, "adapter string, n long, mean double, low double, high double")
 
@@ -155,7 +153,7 @@ def x2_cluster_bootstrap(spark: SparkSession, sf_dir: str, draws: int = 1000) ->
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for adapter, d, n, seed in zip(*(b.column(c).to_pylist() for c in ("adapter", "d", "n", "seed"))):
-                w = np.random.default_rng(seed).poisson(1.0, draws)
+                w = kernels.cluster_weights(seed, draws)
                 sums.setdefault(adapter, np.zeros((2, draws)))
                 sums[adapter] += np.vstack([w * d, w * n])
         for adapter, s in sums.items():
@@ -166,13 +164,13 @@ def x2_cluster_bootstrap(spark: SparkSession, sf_dir: str, draws: int = 1000) ->
 
 
 def x6_score_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tango's interval and the equivalence test for every two adapters; one row per pair of adapters."""
-    @F.pandas_udf("low double, high double, p double")
-    def tango(b: pd.Series, c: pd.Series, n: pd.Series) -> pd.DataFrame:
-        rows = [(*kernels.tango_interval(x, y, z), kernels.equivalence_p(x, y, z, 0.05)) for x, y, z in zip(b, c, n)]
-        return pd.DataFrame(rows, columns=["low", "high", "p"])
+    """The score interval and the equivalence test for every two adapters; one row per pair of adapters."""
+    @F.pandas_udf("low double, high double, p double, z_at_5 double")
+    def score(b: pd.Series, c: pd.Series, n: pd.Series) -> pd.DataFrame:
+        low, high = kernels.paired_score_interval(b, c, n)
+        return pd.DataFrame({"low": low, "high": high, "p": kernels.equivalence_p(b, c, n, 0.05), "z_at_5": kernels.paired_score(b, c, n, 0.05)})
 
-    return a15_contingency(spark, sf_dir).select("a", "b", tango("n12", "n21", "n").alias("t")).select("a", "b", "t.*")
+    return a15_contingency(spark, sf_dir).select("a", "b", score("n12", "n21", "n").alias("t")).select("a", "b", "t.*")
 
 
 def x11_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,6 +226,7 @@ QUERIES = {
     "ref_z2_capped_quota": z2_capped_quota, "ref_z8_water_fill": z8_water_fill, "ref_z9_least_loaded": z9_least_loaded,
 }
 SQL = {
+    "ref_g21_gap": f"WITH {RESULTS} SELECT adapter, CASE WHEN count(input_tokens) >= 3 THEN corr(input_tokens::DOUBLE, output_tokens::DOUBLE) END AS r FROM r GROUP BY adapter",
     "ref_g9_gate": f"WITH {RESULTS}, g AS (SELECT *, coalesce(score.topology >= 0.95, false) AS g FROM r) SELECT adapter, count(*) FILTER ({DONE}) AS completed, count(*) FILTER ({DONE} AND g) AS passed, count(*) FILTER ({DONE} AND NOT g) AS lost, count(*) FILTER (score.topology IS NULL) AS no_gate FROM g GROUP BY adapter",
     "ref_t1_observed_before_use": f"WITH {CALLS}, s AS (SELECT user_id, key, min(struct_pack(t := ts, i := event_id)) AS seen FROM e WHERE event_type <> 'error' GROUP BY ALL) SELECT user_id, count(*) AS unobserved FROM e LEFT JOIN s USING (user_id, key) WHERE event_type = 'error' AND (seen IS NULL OR seen > struct_pack(t := ts, i := event_id)) GROUP BY user_id",
     "ref_t7_call_status": f"WITH {RESULTS} SELECT adapter, sum(tool_calls)::BIGINT AS calls, sum(tool_calls - well_formed_calls)::BIGINT AS malformed, sum(well_formed_calls - running_calls)::BIGINT AS raised, sum(commits)::BIGINT AS commits FROM r GROUP BY adapter",

@@ -26,12 +26,23 @@ def test_intervals_against_frozen_numbers(spark):
     assert column(spark, p, a=8, b=2, c=1, d=5) == pytest.approx(0.0349650350, abs=1e-8)
 
 
-def test_score_interval(spark):
-    z = stats.tango_z(F.col("b"), F.col("c"), F.col("n"), 0.1)
-    assert column(spark, z, b=9, c=3, n=40) == pytest.approx(k.tango_score(9, 3, 40, 0.1))
-    low, high = k.tango_interval(9, 3, 40)
-    assert k.tango_score(9, 3, 40, low) == pytest.approx(1.959964, abs=1e-5) and k.tango_score(9, 3, 40, high) == pytest.approx(-1.959964, abs=1e-5)
-    assert k.tango_interval(0, 0, 10)[0] < 0 < k.tango_interval(0, 0, 10)[1]
+def likelihood_score(b, c, n, delta):
+    """The same statistic from a search for the most likely share under the hypothesis."""
+    low, high = max(0.0, -delta) + 1e-12, (1 - delta) / 2 - 1e-12
+    log_l = lambda q: b * math.log(q + delta) + c * math.log(q) + (n - b - c) * math.log(max(1e-300, 1 - 2 * q - delta))
+    for _ in range(200):
+        x, y = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (x, high) if log_l(x) < log_l(y) else (low, y)
+    return (b - c - n * delta) / math.sqrt(n * (2 * low + delta - delta * delta))
+
+
+def test_score_interval():
+    for b, c, n, delta in ((9, 3, 40, 0.1), (3, 9, 40, 0.1), (9, 3, 40, -0.2), (5, 5, 400, 0.05), (1, 30, 60, -0.4)):
+        assert k.paired_score(b, c, n, delta) == pytest.approx(likelihood_score(b, c, n, delta), abs=1e-5)
+    b, c, n = np.array([9, 0, 10, 0]), np.array([3, 0, 0, 10]), np.array([40, 10, 10, 10])
+    low, high = k.paired_score_interval(b, c, n)
+    assert k.paired_score(9, 3, 40, low[0]) == pytest.approx(1.959964, abs=1e-5) and k.paired_score(9, 3, 40, high[0]) == pytest.approx(-1.959964, abs=1e-5)
+    assert low[1] == pytest.approx(-high[1]) and -1 < low[1] < 0 and high[2] == pytest.approx(1) and low[3] == pytest.approx(-1)
     assert k.equivalence_p(5, 5, 400, 0.05) < 0.05 < k.equivalence_p(5, 5, 20, 0.05)
 
 
@@ -47,12 +58,11 @@ def test_holm_and_newcombe(spark):
 
 
 def test_bootstraps():
-    v = np.array([0, 1] * 50, float)
-    mean, low, high = k.bootstrap_mean(v)
+    mean, low, high = k.histogram_bootstrap([0, 1], [50, 50])
     assert mean == 0.5 and 0.38 < low < 0.42 and 0.58 < high < 0.62
-    assert k.bootstrap_mean(v) == k.bootstrap_mean(v) and math.isnan(k.bootstrap_mean(np.array([]))[0])
-    _, low, high = k.cluster_bootstrap(v, np.arange(100) % 2)  # two clusters, all 0 and all 1
-    assert (low, high) == (0.0, 1.0)
+    assert k.histogram_bootstrap([1, 0], [30, 70])[0] == pytest.approx(0.3) and math.isnan(k.histogram_bootstrap([], [])[0])
+    w = k.cluster_weights(5, 4000)
+    assert (w == k.cluster_weights(5, 4000)).all() and abs(w.mean() - 1) < 0.1 and abs(w.var() - 1) < 0.15
 
 
 def test_student_and_correlation():
