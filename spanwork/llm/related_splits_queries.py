@@ -77,11 +77,13 @@ def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per split: requests wanted by the proportions, held by sets that keep their split, reached, and the gap between wanted and reached."""
+    """Per split: requests wanted by the proportions, held by sets that keep their split, reached, and the gap between wanted and
+    reached.  Without requests there are no rows."""
     wanted = spark.createDataFrame(sorted(shares(spark, sf_dir).items()), "split string, share double")
     rows = session.stage_table(spark, p3_assigned(spark, sf_dir), "assigned")
     total = rows.count()
     reached = rows.groupBy("split").agg(F.count("*").alias("reached"), F.count_if("moved").alias("moved_in"), F.countDistinct("component").alias("n_sets"))
+    wanted = wanted.where(F.lit(total > 0))
     return wanted.join(reached, "split", "left").fillna(0).withColumn("wanted", F.col("share") * total).withColumn("gap", F.col("wanted") - F.col("reached"))
 
 
