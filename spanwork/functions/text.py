@@ -48,6 +48,17 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.transform(F.array(tokens), runs)[0]
 
 
+def ngram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the distinct runs of ``n`` tokens, made from hashes of the tokens: no run is written out as text."""
+
+    def runs(t: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(t) - (n - 1))
+        made = F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(t, i + (k - 1)) for k in range(n)])))
+        return F.when(F.size(t) >= n, made).otherwise(F.array().cast("array<bigint>"))
+
+    return F.transform(F.array(F.transform(tokens, lambda w: F.xxhash64(w))), runs)[0]
+
+
 def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / union)

@@ -21,6 +21,33 @@ def test_similarity_join_equals_brute_force(spark):
     assert jaccard_pairs(df.limit(0), "id", "s").count() == 0
 
 
+def _shuffled(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_similarity_join_of_all_sizes_and_of_copies(spark):
+    rng = random.Random(5)
+    base = [(i, rng.sample(range(10**6), n)) for i, n in enumerate([1, 4, 5, 9, 150, 190, 200, 390, 900, 1700] * 2)]
+    near = [(100 + i, m[: -max(1, len(m) // 12)] + rng.sample(range(10**6, 2 * 10**6), len(m) // 12)) for i, m in base]
+    more = [(200 + i, m + rng.sample(range(2 * 10**6, 3 * 10**6), len(m) // 4)) for i, m in base]
+    rows = [(i, m) for i, m in base + near + more if m]
+    df = spark.createDataFrame([*((i, m, i) for i, m in rows), *((i + 1000, m[::-1], i) for i, m in rows)], "id long, s array<long>, copy long").repartition(3)
+    for t in (0.3, 0.8, 0.9):
+        want = {(a, b, len(set(x) & set(y))) for (a, x), (b, y) in itertools.combinations(rows, 2) if len(set(x) & set(y)) >= t * len(set(x) | set(y)) - 1e-9}
+        assert {(r.a, r.b, r.common) for r in jaccard_pairs(df, "id", "s", t, copy="copy").collect()} == want and want
+
+
+def test_similarity_join_writes_neither_members_nor_chance_meetings(spark):
+    """3,000 sets of 100 members; the rarest of each stand in 40 others, too, which have nothing else in common with it."""
+    rng = random.Random(6)
+    rows = [(i, [f"r{rng.randint(0, 1500)}" for _ in range(20)] + [f"c{rng.randint(0, 700)}" for _ in range(110)]) for i in range(3000)]
+    df = spark.createDataFrame([(i, sorted(set(m))) for i, m in rows], "id long, s array<string>")
+    before = _shuffled(spark)
+    assert jaccard_pairs(df, "id", "s").count() == 0
+    assert _shuffled(spark) - before < 5_000_000
+
+
 def test_quotas_and_round_robin(spark):
     counts = spark.createDataFrame([("a", 5), ("b", 3), ("c", 2), (None, 1)], "s string, n long")
     quota = {r.s: r.quota for r in selection.largest_remainder(counts, "n", 7, "s").collect()}
