@@ -142,10 +142,11 @@ def j10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g5_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its group of copies and near-duplicates, and the group's size."""
     plain = F.array_join(text.words(F.col("text")), " ")
-    docs = _documents(spark, sf_dir).select("doc_id", F.md5(plain).alias("copy"))
+    docs = stage_table(spark, _documents(spark, sf_dir).select("doc_id", F.unhex(F.md5(plain)).alias("copy")), "copies")
     reps = docs.groupBy("copy").agg(F.min("doc_id").alias("rep"))
     groups = connected_components(spark, stage_table(spark, j10_near_duplicates(spark, sf_dir).select("a", "b"), "pairs"))
     rows = docs.join(reps, "copy").join(groups.toDF("rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("group_id"))
+    rows = stage_table(spark, rows, "groups")
     return rows.join(rows.groupBy("group_id").agg(F.count("*").alias("n")), "group_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanwork.functions import messages, rewards, text
 from spanwork.operators import references, selection, sets, spatial
 from spanwork.operators.similarity import jaccard_pairs
+from spanwork.plans.texts import g5_duplicate_groups
 
 
 def test_similarity_join_equals_brute_force(spark):
@@ -48,6 +49,18 @@ def test_similarity_join_writes_neither_members_nor_chance_meetings(spark):
     assert _shuffled(spark) - before < 5_000_000
 
 
+def test_duplicate_groups_write_little(spark, tmp_path):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(200)) for _ in range(1500)]
+    texts[10:13] = [texts[0].upper(), texts[0] + " end", texts[0] + " end of it"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000, None), (5001, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = _shuffled(spark)
+    got = {r.doc_id: (r.group_id, r.n) for r in g5_duplicate_groups(spark, str(tmp_path)).collect()}
+    assert got == {i: (0, 4) if i in (0, 10, 11, 12) else (i, 1) for i, t in rows if t is not None}
+    assert _shuffled(spark) - before < 5_000_000
+
+
 def test_quotas_and_round_robin(spark):
     counts = spark.createDataFrame([("a", 5), ("b", 3), ("c", 2), (None, 1)], "s string, n long")
     quota = {r.s: r.quota for r in selection.largest_remainder(counts, "n", 7, "s").collect()}
