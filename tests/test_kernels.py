@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanwork.functions import kernels as k
 from spanwork.functions import stats
+from spanwork.plans.results import x8_holm
 
 
 def column(spark, expression, **values):
@@ -56,6 +57,19 @@ def test_mcnemar_of_many_cases(spark):
     assert time.perf_counter() - begin < 20
 
 
+def test_holm_of_many_cases(spark, tmp_path):
+    """Two adapters on 160,000 tasks; the tests of three pairs are one family."""
+    score = "named_struct('geometry', {0}, 'semantics', {0}, 'topology', {0})"
+    done = {"a": "id % 2 = 0", "b": "id % 2 = 1 or id < 800", "c": "id % 4 = 0"}
+    rows = [f"select '{k}' as adapter, cast(id as string) as task_id, timestamp'2025-01-01' as run_at, 1L as input_tokens, {score.format(f'if({v}, 1.0D, 0.0D)')} as score from range(160000)" for k, v in done.items()]
+    spark.sql(" union all ".join(rows)).write.parquet(f"{tmp_path}/task_result.parquet")
+    begin = time.perf_counter()
+    got = {r.a + r.b: (r.p, r.p_adjusted) for r in x8_holm(spark, str(tmp_path)).collect()}
+    assert time.perf_counter() - begin < 40
+    p = 2 * 0.5 * math.erfc((400 - 1) / math.sqrt(159_600) / math.sqrt(2))
+    assert got["ab"] == (pytest.approx(p, rel=1e-3), pytest.approx(p, rel=1e-3)) and got["ac"] == got["bc"] == (0.0, 0.0)
+
+
 def likelihood_score(b, c, n, delta):
     """The same statistic from a search for the most likely share under the hypothesis."""
     low, high = max(0.0, -delta) + 1e-12, (1 - delta) / 2 - 1e-12
