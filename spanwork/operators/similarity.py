@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -148,10 +148,11 @@ def _meet(threshold: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def jaccard_pairs(sets: DataFrame, key: str, members: str, threshold: float = 0.8, copy: str | None = None) -> DataFrame:
+def jaccard_pairs(sets: DataFrame, key: str, members: str | Column, threshold: float = 0.8, copy: str | Column | None = None) -> DataFrame:
     """(a, b, common, size_a, size_b) for every two different sets with a Jaccard similarity of at least ``threshold``.
 
     ``sets`` has one row per ``key`` and an array of distinct strings, or of their 64-bit hashes; empty and null sets match nothing.
+    An expression for ``members`` is evaluated in the end for the sets of pairs only.
     Members are ordered by how often the counter they hash to was met; two similar sets share one of their first
     n - ceil(t n) + 1 members in whatever order, so only those meet, and only rare members are among them.  Where two meet, the sizes
     and parity maps, which bound the difference of the sets, are compared before a pair is written; what is left is verified on all members.
@@ -159,8 +160,11 @@ def jaccard_pairs(sets: DataFrame, key: str, members: str, threshold: float = 0.
     Pass one representative of exact copies, or the name of a ``copy`` column of longs: of equal ones only the least key stands.
     """
     spark = sets.sparkSession
-    hashed = F.col(members) if sets.schema[members].dataType == ArrayType(LongType(), sets.schema[members].dataType.containsNull) else F.transform(members, lambda m: F.xxhash64(m))
-    base = sets.select(F.col(key).alias("key"), hashed.alias("m"), (F.col(copy) if copy else F.lit(None).cast("long")).alias("copy"))
+    given = F.col(members) if isinstance(members, str) else members
+    kind = sets.select(given.alias("m")).schema["m"].dataType.elementType
+    hashed = given if kind == LongType() else F.transform(given, lambda m: F.xxhash64(m))
+    same = F.lit(None).cast("long") if copy is None else F.col(copy) if isinstance(copy, str) else copy
+    base = sets.select(F.col(key).alias("key"), hashed.alias("m"), same.alias("copy"))
     counted = base.select("m").mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInArrow(_level, "slice int, total long, level binary").collect()
     levels = np.frombuffer(b"".join(bytes(r.level) for r in sorted(counted, key=lambda r: r.slice)), dtype=np.uint8)
     buckets = max(12, -(-sum(r.total for r in counted) // SHARE))
@@ -170,7 +174,9 @@ def jaccard_pairs(sets: DataFrame, key: str, members: str, threshold: float = 0.
     met = base.mapInArrow(_prefixes(levels, buckets, threshold), schema).groupBy("band", "bucket").applyInArrow(_meet(threshold), StructType([StructField("a", kind), StructField("b", kind)]))
     pairs = stage_table(spark, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     ids = stage_table(spark, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "candidate-ids")
-    full = base.join(F.broadcast(ids) if ids.count() <= FEW else ids, "key", "left_semi").select("key", F.col("m").alias("o"), F.size("m").alias("n"))
+    known = F.coalesce(hashed, F.array().cast("array<bigint>"))  # else a filter on null members, for all sets, is put before the join
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids
+    full = sets.join(ids, sets[key] == ids["key"], "left_semi").select(F.col(key).alias("key"), known.alias("o")).select("key", "o", F.size("o").alias("n"))
     both = pairs.join(full.toDF("a", "o_a", "size_a"), "a").join(full.toDF("b", "o_b", "size_b"), "b")
     both = both.withColumn("common", F.size(F.array_intersect("o_a", "o_b")))
     keep = F.col("common") >= F.lit(threshold) * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9

@@ -134,9 +134,9 @@ def f24_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which at least 80 % of all runs of five words are common; copies are represented by the least id."""
-    docs = _documents(spark, sf_dir).select("doc_id", text.words(F.col("text")).alias("words"))
-    sets = docs.select("doc_id", text.ngram_hashes(F.col("words"), 5).alias("shingles"), F.xxhash64(F.array_join("words", " ")).alias("copy"))
-    return jaccard_pairs(sets, "doc_id", "shingles", copy="copy").select("a", "b", F.col("common").cast("long").alias("common"))
+    words = text.words(F.col("text"))
+    pairs = jaccard_pairs(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id", text.ngram_hashes(words, 5), copy=F.xxhash64(F.array_join(words, " ")))
+    return pairs.select("a", "b", F.col("common").cast("long").alias("common"))
 
 
 def g5_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
