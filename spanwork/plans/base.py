@@ -31,6 +31,15 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("adapter", "task_id", *[F.col("b")[c].alias(c) for c in names])
 
 
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the latest run of each adapter and task completed.
+
+    The verdict is taken before the latest run is looked for: no other column of the runs is read, sorted or sent.
+    """
+    raw = table(spark, sf_dir, "task_result").where("adapter is not null and task_id is not null")
+    return raw.groupBy("adapter", "task_id").agg(F.max_by(completed(), F.struct("run_at", "input_tokens")).alias("done"))
+
+
 def records(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The latest delivery of each task record."""
     return latest(table(spark, sf_dir, "task"), "rec_id", "loaded_at", columns=list(columns))

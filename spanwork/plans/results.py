@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwork.functions import stats
-from spanwork.plans.base import AXES, DONE, RESULTS, TASKS, completed, least_axis, results, tasks
+from spanwork.plans.base import AXES, DONE, RESULTS, TASKS, completed, least_axis, results, tasks, verdicts
 from spanwork.sources.tables import table
 
 # How a run that did not complete ended, by stop reason.
@@ -128,7 +128,7 @@ def a8_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a15_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of every two adapters on the tasks both ran: counts, exact test, interval, tests adjusted over the family."""
-    v = results(spark, sf_dir).select("task_id", "adapter", completed().alias("done"))
+    v = verdicts(spark, sf_dir).select("task_id", "adapter", "done")
     a, b = v.toDF("task_id", "a", "x"), v.toDF("task_id", "b", "y")
     cells = a.join(b, "task_id").where("a < b").groupBy("a", "b").agg(
         F.count("*").alias("n"),

@@ -70,6 +70,29 @@ def test_holm_of_many_cases(spark, tmp_path):
     assert got["ab"] == (pytest.approx(p, rel=1e-3), pytest.approx(p, rel=1e-3)) and got["ac"] == got["bc"] == (0.0, 0.0)
 
 
+def test_holm_reads_verdicts_only(spark, tmp_path):
+    """The latest run of a task counts; columns that say nothing about it are not read, let alone sent."""
+    good, poor = ("named_struct('geometry', {0}, 'semantics', 1.0D, 'topology', 1.0D)".format(v) for v in ("1.0D", "0.5D"))
+    run = "select '{}' as adapter, {} as task_id, {} as run_at, {} as input_tokens, {} as score, repeat('x', 1000) as reply from range({})".format
+    day, day_before = "timestamp_ntz'2025-01-02'", "timestamp_ntz'2025-01-01'"
+    rows = [
+        run("a", "string(id)", day, "5L", good, 40),
+        run("b", "string(id)", day, "5L", f"if(id < 10, {poor}, {good})", 40),
+        run("b", "string(id)", day_before, "9L", f"if(id < 10, {good}, {poor})", 40),  # earlier runs, the other way round
+        run("b", "string(id)", day, "4L", poor, "20, 40"),  # as late, with fewer tokens or none
+        run("b", "string(id)", day, "cast(null as long)", poor, "20, 40"),
+        run("a", "string(id)", "cast(null as timestamp_ntz)", "9L", poor, 40),
+        run("c", "string(id)", day, "5L", "null", 40),  # without a score: not done
+        run("b", "cast(null as string)", day, "5L", poor, 1000),
+    ]
+    spark.sql(" union all ".join(rows)).write.parquet(f"{tmp_path}/task_result.parquet")
+    holm = x8_holm(spark, str(tmp_path))
+    assert "reply#" not in holm._jdf.queryExecution().executedPlan().toString()
+    got = {r.a + r.b: (r.p, r.p_adjusted) for r in holm.collect()}
+    want = {"ab": (2 * 0.5**10, 2 * 0.5**10), "ac": (2 * 0.5**40, 6 * 0.5**40), "bc": (2 * 0.5**30, 4 * 0.5**30)}
+    assert got == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()}
+
+
 def likelihood_score(b, c, n, delta):
     """The same statistic from a search for the most likely share under the hypothesis."""
     low, high = max(0.0, -delta) + 1e-12, (1 - delta) / 2 - 1e-12
